@@ -24,7 +24,7 @@ def leading_member(rows: DataFrame, key: str, member: str, item: str) -> DataFra
     three columns, which no hot key can skew; the two groups above it merge counts.  An empty input
     gives no rows.
     """
-    once = rows.where(F.col(key).isNotNull() & F.col(member).isNotNull()).groupBy(key, member, item).agg()
+    once = rows.where(F.col(key).isNotNull() & F.col(member).isNotNull()).select(key, member, item).distinct()
     counted = once.groupBy(key, member).agg(F.count(item).alias("n"))
     best = counted.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(member).alias("who"))).alias("best"))
     return best.select(key, F.col("best.who").alias(member))
