@@ -33,7 +33,7 @@ from sievework.partitioning import labels, shuffle_width
 
 SKETCH_BITS = 18
 SKETCH_ROWS = 2
-BITMAP_WORDS = 4
+BITMAP_WORDS = 8
 #: Members of a class of copies that are paired one by one; the others are tied to the first member.
 DELEGATES = 32
 _SEEDS = (0x51ED270B, 0x7FEB352D, 0x2545F491, 0x3C6EF372)
@@ -166,7 +166,7 @@ def _prefix_rows(t: float, shingle: int, least_words: int, shared, marks: list[i
         doc_o, early = doc_o[keep], early[keep]
         bucket = (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
         maps, size = _bitmaps(tokens, at), np.minimum(n, 65535)
-        o = np.lexsort((doc_o, bucket))
+        o = np.lexsort((~early, doc_o, bucket))
         h, doc_o, early = h[o].astype(np.uint32), doc_o[o], early[o]
         edge = np.searchsorted(bucket[o], np.arange(parts + 1, dtype=np.uint64))
         out = []
@@ -175,14 +175,14 @@ def _prefix_rows(t: float, shingle: int, least_words: int, shared, marks: list[i
             if s.start == s.stop:
                 continue
             who, local = np.unique(doc_o[s], return_inverse=True)
-            local = local.astype(np.uint16) | (early[s].astype(np.uint16) << np.uint16(15))
-            out.append((marks[p], h[s].tobytes(), local.tobytes(), key[who].tobytes(), size[who].astype(np.uint16).tobytes(), maps[who].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(zip(*out))], ["bucket", "token", "local", "key", "size", "bits"])
+            counts = np.stack([np.bincount(local[early[s]], minlength=len(who)), np.bincount(local[~early[s]], minlength=len(who))]).astype(np.uint32)
+            out.append((marks[p], h[s].tobytes(), counts.tobytes(), key[who].tobytes(), size[who].astype(np.uint16).tobytes(), maps[who].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(zip(*out))], ["bucket", "token", "counts", "key", "size", "bits"])
 
     return run
 
 
-_PREFIX = "bucket int, token binary, local binary, key binary, size binary, bits binary"
+_PREFIX = "bucket int, token binary, counts binary, key binary, size binary, bits binary"
 
 
 def _pair_up(t: float, marks: list[int]):
@@ -194,17 +194,17 @@ def _pair_up(t: float, marks: list[int]):
         for batch in batches:
             for row in batch.to_pylist():
                 held.setdefault(row["bucket"], []).append(row)
-        for rows in list(held.values()):
-            yield from bucket(rows)
+        for b in list(held):
+            yield from bucket(held.pop(b))
 
     def bucket(rows):
         token, who, early, base, keys, sizes, maps = [], [], [], 0, [], [], []
         for r in rows:
-            local = np.frombuffer(r["local"], np.uint16)
             token.append(np.frombuffer(r["token"], np.uint32))
-            who.append((local & np.uint16(0x7FFF)).astype(np.int32) + base)
-            early.append(local >> np.uint16(15) != 0)
             keys.append(np.frombuffer(r["key"], np.int64))
+            counts = np.frombuffer(r["counts"], np.uint32).reshape(2, -1).T.ravel()
+            who.append(np.repeat(np.arange(len(counts), dtype=np.int32) // 2 + base, counts))
+            early.append(np.repeat(np.arange(len(counts)) % 2 == 0, counts))
             sizes.append(np.frombuffer(r["size"], np.uint16))
             maps.append(np.frombuffer(r["bits"], np.uint64).reshape(-1, BITMAP_WORDS))
             base += len(keys[-1])
@@ -369,8 +369,10 @@ def class_pairs(corpus: DataFrame, threshold: float = 0.8, shingle: int = 5, lea
     keyed = _keyed(corpus)
     shared = spark.sparkContext.broadcast(sketch_of(keyed, shingle, least_words))
     texts = keyed.select("key", "title", "body")
-    prefixes = texts.mapInArrow(_prefix_rows(threshold, shingle, least_words, shared, marks), _PREFIX)
-    pairs = prefixes.repartition(parts, "bucket").mapInArrow(_pair_up(threshold, marks), "group int, a array<bigint>, b array<bigint>")
+    # a text's bitmap goes to each bucket that it has tokens in, so buckets are few and large
+    buckets = labels(max(1, parts // 2))
+    prefixes = texts.mapInArrow(_prefix_rows(threshold, shingle, least_words, shared, buckets), _PREFIX)
+    pairs = prefixes.repartition(len(buckets), "bucket").mapInArrow(_pair_up(threshold, marks), "group int, a array<bigint>, b array<bigint>")
     group = F.element_at(F.array(*map(F.lit, marks)), (F.pmod("key", F.lit(parts)) + 1).cast("int")).alias("group")
     if repeated is not None:
         pairs = pairs.unionByName(repeated.select(group, F.array("key").alias("a"), F.array("key").alias("b")))
