@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import knn, near_dup
+from sievework.llm import knn, near_dup, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.close_pairs(knn.usable(_table(spark, d, "content_embeddings"), 256), 256, k=5, within=0.12)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(_table(spark, d, "corpus"), 160)
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shares(_table(spark, d, "corpus"), 160)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p5_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
