@@ -44,6 +44,12 @@ def _text_rows(title: pa.ChunkedArray | pa.Array, body: pa.ChunkedArray | pa.Arr
     return [x or "" for x in title.to_pylist()], [x or "" for x in body.to_pylist()]
 
 
+def _within_texts(doc: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """A sorting permutation, sorted once more by text: narrow numbers make that a radix sort."""
+    d = doc[order]
+    return order[np.argsort(d.astype(np.uint16) if len(d) and doc[-1] < 65536 else d, kind="stable")]
+
+
 def token_sets(titles: list[str], bodies: list[str], shingle: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct token hashes of every record and their offsets; a record with too short a body has none."""
     parts, counts = [], []
@@ -60,7 +66,7 @@ def token_sets(titles: list[str], bodies: list[str], shingle: int, least_words:
         doc = np.repeat(np.arange(b - a), np.diff(to))
         keep = nb[doc] >= least_words
         s, doc = s[keep], doc[keep]
-        order = np.lexsort((s, doc))
+        order = _within_texts(doc, np.argsort(s))
         s, doc = s[order], doc[order]
         first = np.ones(len(s), np.bool_)
         first[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
@@ -81,17 +87,28 @@ def _frequency(sketch: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return np.minimum.reduce([sketch[r][_cells(tokens, r)] for r in range(SKETCH_ROWS)])
 
 
-def order_key(sketch: np.ndarray, tokens: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(minor, major) sort keys of a global token order.
+def order_key(sketch: np.ndarray, tokens: np.ndarray, order: int) -> np.ndarray:
+    """Sort key of a global token order; equal keys go by the token itself.
 
     0: rare tokens first, ties by hash.  1: by hash alone.  2: by the bit length of the frequency,
     ties by another hash.  Each depends on the token only, as the prefix argument requires.
     """
     h = K.mix(tokens ^ np.uint64(_SEEDS[1 + order]))
     if order == 1:
-        return h, np.zeros(len(tokens), np.int64)
-    count = _frequency(sketch, tokens)
-    return h, count if order == 0 else np.frexp(count.astype(np.float64))[1].astype(np.int64)
+        return h
+    count = np.minimum(_frequency(sketch, tokens), (1 << 32) - 1)
+    major = count.astype(np.uint64) if order == 0 else np.frexp(count.astype(np.float64))[1].astype(np.uint64)
+    return major << np.uint64(32) | h >> np.uint64(32)
+
+
+def ranks(sketch: np.ndarray, tokens: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
+    """Place of every token in its own set under a global order; tokens are sorted within each set."""
+    n = np.diff(at)
+    doc = np.repeat(np.arange(len(n)), n)
+    by = _within_texts(doc, np.argsort(order_key(sketch, tokens, order), kind="stable"))
+    out = np.empty(len(tokens), np.int64)
+    out[by] = np.arange(len(tokens)) - np.repeat(at[:-1], n)
+    return out
 
 
 def _prefix_lengths(n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -155,15 +172,12 @@ def _prefix_rows(t: float, shingle: int, least_words: int, shared, marks: list[i
             return
         n = np.diff(at)
         doc = np.repeat(np.arange(len(n)), n)
-        minor, major = order_key(sketch, tokens, 0)
-        order = np.lexsort((minor, major, doc))
-        rank = np.arange(len(tokens)) - np.repeat(at[:-1], n)
+        rank = ranks(sketch, tokens, at, 0)
         large, small = _prefix_lengths(n, t)
-        doc_o = doc[order]
-        keep = rank < large[doc_o]
-        early = rank < small[doc_o]
-        h = K.mix(tokens[order][keep])
-        doc_o, early = doc_o[keep], early[keep]
+        keep = rank < large[doc]
+        early = rank < small[doc]
+        h = K.mix(tokens[keep])
+        doc_o, early = doc[keep], early[keep]
         bucket = (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
         maps, size = _bitmaps(tokens, at), np.minimum(n, 65535)
         o = np.lexsort((~early, doc_o, bucket))
@@ -298,16 +312,6 @@ def _attach(shingle: int, least_words: int, marks: list[int]):
     return run
 
 
-def _shares_prefix(x: np.ndarray, y: np.ndarray, sketch: np.ndarray, order: int, t: float) -> bool:
-    if len(x) > len(y):
-        x, y = y, x
-    heads = []
-    for s, role in ((x, 1), (y, 0)):
-        length = int(_prefix_lengths(np.array([len(s)]), t)[role][0])
-        heads.append(s[np.lexsort(order_key(sketch, s, order))[:length]])
-    return bool(np.isin(heads[0], heads[1]).any())
-
-
 def _verify(t: float, shingle: int, least_words: int, shared):
     """Group of the second text: intersect the prefixes under the other orders, then compare the sets."""
 
@@ -315,23 +319,32 @@ def _verify(t: float, shingle: int, least_words: int, shared):
         found = []
         if rows.num_rows:
             sketch = shared.value
-            wanted = _lists(rows["b"])
-            keys, tokens, at = _sets_for(texts, wanted, shingle, least_words)
+            keys, tokens, at = _sets_for(texts, _lists(rows["b"]), shingle, least_words)
             place = {int(k): i for i, k in enumerate(keys)}
-            for row in rows.to_pylist():
-                x = np.frombuffer(row["tokens"], np.uint64)
-                for b in row["b"]:
+            sets = [np.frombuffer(x, np.uint64) for x in rows["tokens"].to_pylist()]
+            at_x = np.zeros(len(sets) + 1, np.int64)
+            np.cumsum([len(x) for x in sets], out=at_x[1:])
+            orders = [(ranks(sketch, np.concatenate(sets), at_x, k), ranks(sketch, tokens, at, k)) for k in (1, 2)]
+            for r, (a, partners) in enumerate(zip(rows["a"].to_pylist(), rows["b"].to_pylist())):
+                x = sets[r]
+                for b in partners:
                     i = place.get(b)
                     if i is None or at[i] == at[i + 1]:
                         continue
+                    if a == b:
+                        found.append((a, b, 1.0))
+                        continue
                     y = tokens[at[i] : at[i + 1]]
-                    if row["a"] != b and not all(_shares_prefix(x, y, sketch, k, t) for k in (1, 2)):
+                    where = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    both = np.flatnonzero(y[where] == x)
+                    small = len(x) <= len(y)
+                    reach = [int(_prefix_lengths(np.array([len(v)]), t)[role][0]) for v, role in ((x, int(small)), (y, int(not small)))]
+                    mine, theirs = at_x[r] + both, at[i] + where[both]
+                    if not all(((p[mine] < reach[0]) & (q[theirs] < reach[1])).any() for p, q in orders):
                         continue
-                    where = np.searchsorted(y, x)
-                    common = int((y[np.minimum(where, len(y) - 1)] == x).sum())
-                    similarity = common / (len(x) + len(y) - common)
+                    similarity = len(both) / (len(x) + len(y) - len(both))
                     if similarity >= t - 1e-12:
-                        found.append((row["a"], b, similarity))
+                        found.append((a, b, similarity))
         kinds = (pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array(list(x), k) for x, k in zip(list(zip(*found)) or [()] * 3, kinds)], ["a", "b", "similarity"])
 
@@ -392,11 +405,9 @@ def near_duplicates(corpus: DataFrame, threshold: float = 0.8, shingle: int = 5,
     who = members(corpus)
     many = who.where(F.col("rank") == 2).select("key")
     verified = class_pairs(corpus, threshold, shingle, least_words, many)
-    named = who.where(F.col("rank").isNotNull())
-    left, right = named.select(F.col("key").alias("a"), F.col("post_id").alias("x")), named.select(F.col("key").alias("b"), F.col("post_id").alias("y"))
-    pairs = verified.select("a", "b").join(left, "a").join(right, "b").where("x <> y")
-    first = named.where("rank = 1").select(F.col("key").alias("a"), F.col("post_id").alias("x"))
-    rest = who.where(F.col("rank").isNull()).select(F.col("key").alias("a"), F.col("post_id").alias("y"))
-    copies = verified.where("a = b").select("a").join(first, "a").join(rest, "a")
-    both = pairs.select("x", "y").unionByName(copies.select("x", "y"))
-    return both.select(F.least("x", "y").alias("post_a"), F.greatest("x", "y").alias("post_b")).distinct()
+    # slot 0 pairs ranked members one by one; slot 1 ties the further copies to the first member
+    slots = F.when((F.col("a") == F.col("b")) & (F.col("rank") == 1), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    left = who.where(F.col("rank").isNotNull()).select(F.col("key").alias("a"), F.col("post_id").alias("x"), "rank")
+    right = who.select(F.col("key").alias("b"), F.col("post_id").alias("y"), F.col("rank").isNull().cast("int").alias("slot"))
+    pairs = verified.select("a", "b").join(left, "a").select("b", "x", F.explode(slots).alias("slot")).join(right, ["b", "slot"]).where("x <> y")
+    return pairs.select(F.least("x", "y").alias("post_a"), F.greatest("x", "y").alias("post_b")).distinct()
