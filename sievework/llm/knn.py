@@ -30,7 +30,7 @@ from sievework.partitioning import labels, shuffle_width
 SAMPLE = 16_384
 MAX_CELLS = 4_096
 CELL_ROWS = 500
-PROBES = 10
+PROBES = 8
 #: Standard errors by which an estimate may miss.
 SIGMAS = 4.0
 _ROUNDS = 4
