@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import knn, near_dup, spans
+from sievework.llm import groups, knn, near_dup, packing, repetition, spans, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.close_pairs(knn.usable(_table(spark, d, "content_embeddings"), 256), 256, k=5, within=0.12)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return groups.account_groups(*(_table(spark, d, n) for n in ("campaign_candidates", "post_contacts", "shared_hosts")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(_table(spark, d, "corpus"), 160)
 
@@ -31,8 +35,28 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shares(_table(spark, d, "corpus"), 160)
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_ids(_table(spark, d, "documents"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(tokens.token_counts(_table(spark, d, "documents")), 2048)
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p7_containers(spark, d), 2048)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.cases(_table(spark, d, "documents"), 0.3)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.shares(_table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p5_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p5_shares, p6_ids, p7_containers, p7_fill, p8_found, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
