@@ -14,13 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.operators.components import star_labels
 from sievework.operators.hot_keys import folded
-from sievework.partitioning import checkpointed
+from sievework.partitioning import checkpointed, shuffle_width
 
 #: Rounds of stripping and compressing go on while they remove at least this share of the edges.
 WORTHWHILE = 0.1
 MAX_ROUNDS = 20
-_PAIR = (F.least, F.greatest)
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -32,6 +32,13 @@ def _degrees(edges: DataFrame) -> DataFrame:
     return _both_ways(edges).groupBy("x").agg(F.count("*").alias("n"), F.min("y").alias("a"), F.max("y").alias("b"))
 
 
+def _together(first: DataFrame, *more: DataFrame) -> DataFrame:
+    """A union that has no more partitions than a shuffle, however often it is repeated."""
+    for df in more:
+        first = first.unionByName(df)
+    return first.coalesce(shuffle_width(first.sparkSession))
+
+
 def _pair(x: str | Column, y: str | Column) -> list[Column]:
     return [F.least(x, y).alias("u"), F.greatest(x, y).alias("v")]
 
@@ -68,7 +75,7 @@ def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         before = (state.open, state.low)
         ahead = walk.select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("end").alias("q_end"), F.col("low").alias("q_low"), F.col("rank").alias("q_rank"))
         moving = walk.where("px IS NOT NULL").join(ahead, ["px", "py"]).select("x", "y", F.col("qx").alias("px"), F.col("qy").alias("py"), F.col("q_end").alias("end"), F.least("low", "q_low").alias("low"), (F.col("rank") + F.col("q_rank")).alias("rank"))
-        walk = checkpointed(walk.where("px IS NULL").unionByName(moving))
+        walk = checkpointed(_together(walk.where("px IS NULL"), moving))
     # what is still walking goes round a cycle: its smallest vertex stands for it
     ends = walk.groupBy("x").agg(F.min("end").alias("a"), F.max("end").alias("b"), F.min("low").alias("low"))
     ends = checkpointed(ends.where("a IS NOT NULL OR x <> low").select("x", "a", "b", F.coalesce("a", "low").alias("parent")))
@@ -77,26 +84,6 @@ def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checkpointed(rest), ends.select("x", "parent")
 
 
-def _core(edges: DataFrame) -> DataFrame:
-    """(x, label) of all vertices of the edges, by large-star and small-star until nothing changes."""
-    pairs = checkpointed(edges.select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).distinct())
-    before = None
-    while True:
-        # large star: every larger neighbour of x hangs on the smallest of x and its neighbours
-        both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        # small star: every smaller neighbour of x, and x itself, hangs on the smallest
-        least = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(least, "x").select(F.explode(F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.x", "e.y")
-        pairs = checkpointed(small.where("x <> y").distinct())
-        state = pairs.agg(F.count("*"), F.sum(F.col("x").cast("decimal(38,0)")), F.sum(F.col("y").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
-    return pairs.select("x", F.col("y").alias("label")).unionByName(pairs.select(F.col("y").alias("x"), F.col("y").alias("label")).distinct())
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(x, label) of every vertex of the edges (u, v: bigint): equal labels mean linked, directly or not.
 
@@ -117,13 +104,13 @@ def components(edges: DataFrame) -> DataFrame:
             left = now
             break
         left = now
-    labels = _core(edges) if left else edges.select(F.col("u").alias("x"), F.col("v").alias("label"))
+    labels = star_labels(edges) if left else edges.select(F.col("u").alias("x"), F.col("v").alias("label"))
     for step in reversed(removed):
         # a parent that no label reached is the last vertex of its component: it labels itself
         known = labels.withColumnRenamed("x", "parent")
         named = step.join(known, "parent", "left").select("x", "parent", F.coalesce("label", "parent").alias("label"), F.col("label").isNull().alias("new"))
         roots = named.where("new").select(F.col("parent").alias("x"), "label").distinct()
-        labels = checkpointed(labels.unionByName(named.select("x", "label")).unionByName(roots))
+        labels = checkpointed(_together(labels, named.select("x", "label"), roots))
     return labels
 
 
