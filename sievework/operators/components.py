@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +28,22 @@ def star_labels(edges: DataFrame) -> DataFrame:
             break
         before = tuple(state)
     return pairs.select("x", F.col("y").alias("label")).unionByName(pairs.select(F.col("y").alias("x"), F.col("y").alias("label")).distinct())
+
+
+def named_groups(ties: DataFrame, name: str = "account", solve: Callable[[DataFrame], DataFrame] = star_labels) -> DataFrame:
+    """(name, group_name) of all names that ties (a: name, b: any key) link to another name.
+
+    ``ties`` has columns a (a name), b (a name or key) and is_name (whether b is a name too); names
+    and keys are told apart, so equal spellings don't clash.  The group's smallest name stands for
+    it.  Ids are numbered exactly, without hashing.
+    """
+    ties = checkpointed(ties.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b", "is_name").distinct())
+    nodes = ties.select(F.col("a").alias("node"), F.lit(True).alias("is_name")).unionByName(ties.select(F.col("b").alias("node"), "is_name")).distinct()
+    nodes = checkpointed(nodes.withColumn("id", F.monotonically_increasing_id()))
+    left = nodes.where("is_name").select(F.col("node").alias("a"), F.col("id").alias("u"))
+    right = nodes.select(F.col("node").alias("b"), "is_name", F.col("id").alias("v"))
+    edges = ties.join(left, "a").join(right, ["b", "is_name"]).where("u <> v").select("u", "v")
+    labels = solve(edges)
+    named = checkpointed(nodes.where("is_name").join(labels.withColumnRenamed("x", "id"), "id").select("node", "label"))
+    heads = named.groupBy("label").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
+    return named.join(heads, "label").select(F.col("node").alias(name), F.col("head").alias(f"group_{name}"))
