@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.operators.components import star_labels
+from sievework.operators.components import named_groups, star_labels
 from sievework.operators.hot_keys import folded
 from sievework.partitioning import checkpointed, shuffle_width
 
@@ -114,24 +114,6 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def grouped(ties: DataFrame, name: str = "account") -> DataFrame:
-    """(name, group_name) of all names that ties (a: name, b: any key) link to another name.
-
-    ``ties`` has columns a (a name), b (a name or key) and is_name (whether b is a name too); names
-    and keys are told apart, so equal spellings don't clash.  The group's smallest name stands for
-    it.  Ids are numbered exactly, without hashing.
-    """
-    ties = checkpointed(ties.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b", "is_name").distinct())
-    nodes = ties.select(F.col("a").alias("node"), F.lit(True).alias("is_name")).unionByName(ties.select(F.col("b").alias("node"), "is_name")).distinct()
-    nodes = checkpointed(nodes.withColumn("id", F.monotonically_increasing_id()))
-    left = nodes.where("is_name").select(F.col("node").alias("a"), F.col("id").alias("u"))
-    right = nodes.select(F.col("node").alias("b"), "is_name", F.col("id").alias("v"))
-    labels = components(ties.join(left, "a").join(right, ["b", "is_name"]).select("u", "v"))
-    named = checkpointed(nodes.where("is_name").join(labels.withColumnRenamed("x", "id"), "id").select("node", "label"))
-    heads = named.groupBy("label").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    return named.join(heads, "label").select(F.col("node").alias(name), F.col("head").alias(f"group_{name}"))
-
-
 def account_ties(candidates: DataFrame, contacts: DataFrame, hosts: DataFrame) -> DataFrame:
     """(a, b, is_name): accounts tied by a candidate, by an unlisted domain of candidates, or by a contact point.
 
@@ -151,4 +133,4 @@ def account_ties(candidates: DataFrame, contacts: DataFrame, hosts: DataFrame) -
 
 def account_groups(candidates: DataFrame, contacts: DataFrame, hosts: DataFrame) -> DataFrame:
     """(account, group_account) of every account in a group of two or more."""
-    return grouped(account_ties(candidates, contacts, hosts))
+    return named_groups(account_ties(candidates, contacts, hosts), "account", components)
