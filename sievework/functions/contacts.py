@@ -6,7 +6,7 @@ import re
 from urllib.parse import urlparse
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MATCH = "kind:string,value:string,found_as:string,field:string"
@@ -117,11 +117,15 @@ def scan_post(title, body, links) -> dict:
     return {"matches": matches, "unread": unread}
 
 
-@F.pandas_udf(_RESULT)
-def contact_scan(title: pd.Series, body: pd.Series, links: pd.Series) -> pd.DataFrame:
+def _scan_each(title: pd.Series, body: pd.Series, links: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([scan_post(*row) for row in zip(title, body, links)], columns=["matches", "unread"])
 
 
+def contact_scan(title: Column | str, body: Column | str, links: Column | str) -> Column:
+    """struct(matches, unread) of a post."""
+    return F.pandas_udf(_scan_each, _RESULT)(title, body, links)
+
+
 def extract(posts: DataFrame) -> DataFrame:
     """(post_id, account, contact_points, matches, unread) of every post.
 

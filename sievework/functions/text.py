@@ -55,10 +55,13 @@ def affirmed(sentence: str, phrase: str) -> bool:
     return any(not negated(sentence, m.start()) for m in _compiled(phrase).finditer(sentence.lower()))
 
 
-@F.pandas_udf("array<string>")
-def affirmed_of(sentence: pd.Series, phrases: pd.Series) -> pd.Series:
+def _affirmed_each(sentence: pd.Series, phrases: pd.Series) -> pd.Series:
+    return pd.Series([[p for p in ps if affirmed(s, p)] for s, ps in zip(sentence, phrases)], dtype=object)
+
+
+def affirmed_of(sentence: Column | str, phrases: Column | str) -> Column:
     """Those of the phrases of a sentence that aren't negated; only sentences with phrases should come here."""
-    return pd.Series([[p for p in ps if affirmed(s, p)] for s, ps in zip(sentence, phrases)])
+    return F.pandas_udf(_affirmed_each, "array<string>")(sentence, phrases)
 
 
 def word_count(text: Column | str) -> Column:

@@ -1,38 +1,235 @@
-"""Queries over links and domains."""
+"""Queries over links, domains, hosts and signals."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.operators.hot_keys import folded, leading_accounts
+from sievework.functions import rules, urls
+from sievework.operators import classify, hot_keys, lookalike, score
 from sievework.plans.registry import query, table
+from sievework.sources.suffixes import SMALL_RULES, Rules, classify_rules, digest, registrable, rule_rows, survey
 
 #: The folded spelling in the oracle's dialect.
 FOLD = "regexp_replace(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '\\.+$', '')"
+#: Posts once each.
+POSTS = "SELECT DISTINCT post_id, account, subreddit, title, body, created_at, links FROM corpus WHERE post_id IS NOT NULL"
+LINKS = f"SELECT DISTINCT post_id, account, {FOLD.format('x.domain')} AS domain FROM (SELECT post_id, account, unnest(links) AS x FROM post_domains) WHERE x.domain IS NOT NULL"
+LISTED = f"SELECT DISTINCT {FOLD.format('host')} AS domain FROM shared_hosts WHERE host IS NOT NULL"
+WITH = f"WITH posts AS ({POSTS}), links AS ({LINKS}), listed AS ({LISTED})"
+
+
+def posts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "corpus").where("post_id IS NOT NULL")
+    return rows.select("post_id", "account", "subreddit", "title", "body", "created_at", "links").dropDuplicates(["post_id"])
+
+
+def links(spark: SparkSession, d: str) -> DataFrame:
+    return score.domain_links(table(spark, d, "post_domains"))
+
+
+def listed(spark: SparkSession, d: str) -> DataFrame:
+    return score.withheld_domains(table(spark, d, "shared_hosts"))
+
+
+@query("p4_found", f"{WITH}, c AS (SELECT domain, account, count(post_id) AS n FROM links WHERE account IS NOT NULL GROUP BY ALL) SELECT domain, account FROM c QUALIFY row_number() OVER (PARTITION BY domain ORDER BY n DESC, account) = 1")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return hot_keys.leading_accounts(table(spark, d, "post_domains"))
+
+
+@query("agg01_domain_reach", f"{WITH} SELECT domain, count(DISTINCT post_id) AS posts, count(DISTINCT account) AS accounts FROM links GROUP BY domain")
+def agg01(spark: SparkSession, d: str) -> DataFrame:
+    return links(spark, d).groupBy("domain").agg(F.countDistinct("post_id").alias("posts"), F.countDistinct("account").alias("accounts"))
+
+
+@query("flt01_withheld", f"{WITH} SELECT domain, post_id FROM links ANTI JOIN listed USING (domain)")
+def flt01(spark: SparkSession, d: str) -> DataFrame:
+    return links(spark, d).join(listed(spark, d), "domain", "left_anti").select("domain", "post_id").distinct()
+
+
+@query("flt03_shared_by_two", f"{WITH} SELECT domain, count(DISTINCT account) AS accounts FROM links GROUP BY domain HAVING count(DISTINCT account) >= 2")
+def flt03(spark: SparkSession, d: str) -> DataFrame:
+    return links(spark, d).groupBy("domain").agg(F.countDistinct("account").alias("accounts")).where("accounts >= 2")
 
 
 @query(
-    "p4_found",
-    f"""
-    WITH l AS (SELECT DISTINCT post_id, account, {FOLD.format("x.domain")} AS domain
-               FROM (SELECT post_id, account, unnest(links) AS x FROM post_domains) WHERE account IS NOT NULL AND x.domain IS NOT NULL),
-         c AS (SELECT domain, account, count(post_id) AS n FROM l GROUP BY ALL)
-    SELECT domain, account FROM c QUALIFY row_number() OVER (PARTITION BY domain ORDER BY n DESC, account) = 1
-    """,
+    "join05_lookalikes",
+    f"""{WITH}, d AS (SELECT DISTINCT domain, split_part(domain, '.', 1) AS label, CASE WHEN strpos(domain, '.') > 0 THEN substr(domain, strpos(domain, '.') + 1) ELSE '' END AS suffix FROM links)
+    SELECT x.domain AS a, y.domain AS b FROM d x JOIN d y ON x.suffix = y.suffix AND x.domain < y.domain AND abs(length(x.label) - length(y.label)) <= 1 AND damerau_levenshtein(x.label, y.label) = 1""",
 )
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return leading_accounts(table(spark, d, "post_domains"))
+def join05(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.lookalikes(links(spark, d))
+
+
+@query("url05_registrable", "SELECT host, domain FROM (VALUES ('example.com','example.com'),('a.example.co.uk','example.co.uk'),('foo.ck',NULL),('a.foo.ck','a.foo.ck'),('www.ck','www.ck'),('city.kawasaki.jp','city.kawasaki.jp'),('a.b.nothing.unlisted','nothing.unlisted'),('example',NULL),('github.io',NULL),('a.b.attacker.github.io','attacker.github.io')) t(host, domain)")
+def url05(spark: SparkSession, d: str) -> DataFrame:
+    hosts = "example.com a.example.co.uk foo.ck a.foo.ck www.ck city.kawasaki.jp a.b.nothing.unlisted example github.io a.b.attacker.github.io".split()
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string")
+    return rows.select("host", registrable("host", Rules.parse(SMALL_RULES)).alias("domain"))
+
+
+@query("url01_resolved_links")
+def url01(spark: SparkSession, d: str) -> DataFrame:
+    """Links of all posts, resolved; rows only, since SQL has no parser of the same kind."""
+    found = urls.resolve_links(posts(spark, d), Rules.parse(SMALL_RULES))
+    return found.select("post_id", F.posexplode("links").alias("pos", "x")).select("post_id", "pos", "x.link", "x.scheme", "x.host", "x.domain", "x.unresolved")
+
+
+@query("url02_unresolved_reasons", "SELECT coalesce(x.unresolved, 'resolved') AS reason, count(*) AS links FROM (SELECT unnest(links) AS x FROM (SELECT DISTINCT post_id, links FROM post_domains)) GROUP BY 1")
+def url02(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "post_domains").dropDuplicates(["post_id"])
+    return once.select(F.explode("links").alias("x")).groupBy(F.coalesce("x.unresolved", F.lit("resolved")).alias("reason")).agg(F.count("*").alias("links"))
+
+
+@query("url06_link_hosts", "SELECT x.host AS host, count(*) AS links, count(DISTINCT post_id) AS posts FROM (SELECT post_id, unnest(links) AS x FROM (SELECT DISTINCT post_id, links FROM post_domains)) WHERE x.host IS NOT NULL GROUP BY 1")
+def url06(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "post_domains").dropDuplicates(["post_id"]).select("post_id", F.explode("links").alias("x"))
+    return once.where("x.host IS NOT NULL").groupBy(F.col("x.host").alias("host")).agg(F.count("*").alias("links"), F.countDistinct("post_id").alias("posts"))
+
+
+@query("url07_label_suffix", f"{WITH} SELECT DISTINCT domain, split_part(domain, '.', 1) AS label, CASE WHEN strpos(domain, '.') > 0 THEN substr(domain, strpos(domain, '.') + 1) ELSE '' END AS suffix FROM links")
+def url07(spark: SparkSession, d: str) -> DataFrame:
+    return links(spark, d).select("domain").distinct().select("domain", F.substring_index("domain", ".", 1).alias("label"), F.regexp_extract("domain", r"^[^.]*\.?(.*)$", 1).alias("suffix"))
+
+
+@query("src06_suffix_kinds", "SELECT * FROM (VALUES ('plain', 4 + 1), ('wildcard', 2), ('exception', 2)) t(kind, rules)")
+def src06(spark: SparkSession, d: str) -> DataFrame:
+    return rule_rows(spark, SMALL_RULES).groupBy("kind").agg(F.count("*").alias("rules"))
+
+
+@query("src07_suffix_survey", "SELECT * FROM (VALUES ('plain','ICANN',4),('wildcard','ICANN',2),('exception','ICANN',2),('plain','PRIVATE',1)) t(kind, section, rules)")
+def src07(spark: SparkSession, d: str) -> DataFrame:
+    return survey(rule_rows(spark, SMALL_RULES))
+
+
+@query("src08_rules_digest", "SELECT sha256(string_agg(r, chr(10) ORDER BY r)) AS digest FROM (VALUES ('com'),('net'),('org'),('co.uk'),('*.ck'),('!www.ck'),('*.jp'),('!city.kawasaki.jp'),('github.io')) t(r)")
+def src08(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(reversed(SMALL_RULES.splitlines())) if "===" not in t], "line long, text string")
+    return digest(classify_rules(lines))
+
+
+@query("src10_shared_hosts", f"SELECT {FOLD.format('host')} AS host, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, CAST(max(added) AS VARCHAR) AS last_updated FROM shared_hosts WHERE host IS NOT NULL GROUP BY 1")
+def src10(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "shared_hosts").where("host IS NOT NULL")
+    kinds = F.array_join(F.array_sort(F.collect_set("kind")), ",")
+    return rows.groupBy(hot_keys.folded("host").alias("host")).agg(F.when(F.count("kind") > 0, kinds).alias("kinds"), F.max("added").cast("string").alias("last_updated"))
+
+
+@query("agg27_domain_facts", f"{WITH} SELECT (SELECT count(*) FROM links) AS links, (SELECT count(DISTINCT domain) FROM links) AS domains, (SELECT count(DISTINCT post_id) FROM links) AS posts, (SELECT count(*) FROM (SELECT DISTINCT domain FROM links) SEMI JOIN listed USING (domain)) AS listed")
+def agg27(spark: SparkSession, d: str) -> DataFrame:
+    all_ = links(spark, d).join(listed(spark, d).withColumn("l", F.lit(True)), "domain", "left")
+    return all_.agg(F.count("*").alias("links"), F.countDistinct("domain").alias("domains"), F.countDistinct("post_id").alias("posts"), F.countDistinct(F.when(F.col("l"), F.col("domain"))).alias("listed"))
+
+
+def _class_sql() -> str:
+    text = "lower(concat_ws(' . ', title, body))"
+    words = lambda p: "|".join(r"\s+".join(w.replace("'", "''") for w in x.split()) for x in p)
+    whens = " ".join(f"WHEN regexp_matches({text}, '(^|[^0-9a-z])({words(p)})($|[^0-9a-z])') THEN '{c}'" for c, p in rules.CATEGORY_PHRASES.items())
+    return f"CASE {whens} ELSE 'Other' END"
+
+
+PLACED = f"placed AS (SELECT post_id, account, {_class_sql()} AS scam_category FROM posts)"
+
+
+@query("rul06_placements", f"{WITH}, {PLACED} SELECT post_id, scam_category FROM placed")
+def rul06(spark: SparkSession, d: str) -> DataFrame:
+    return classify.placements(posts(spark, d)).select("post_id", "scam_category")
+
+
+@query("str04_class_evidence")
+def str04(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences and phrases behind the placements; SQL has no look-behind to split sentences."""
+    return classify.evidence(posts(spark, d)).withColumn("phrases", F.array_join("phrases", ","))
+
+
+VOTES = "votes AS (SELECT l.domain, l.post_id, p.scam_category FROM links l ANTI JOIN listed USING (domain) JOIN placed p USING (post_id))"
+MAJORITY = "majority AS (SELECT domain, sum(n) AS placed, max(n) AS top, CASE WHEN sum(n) >= 2 AND 2 * max(n) > sum(n) THEN arg_max(scam_category, n) END AS majority FROM (SELECT domain, scam_category, count(*) AS n FROM votes WHERE scam_category <> 'Other' GROUP BY ALL) GROUP BY domain)"
+
+
+def _votes(spark: SparkSession, d: str) -> DataFrame:
+    placed = classify.placements(posts(spark, d)).select("post_id", "scam_category")
+    return links(spark, d).join(listed(spark, d), "domain", "left_anti").join(placed, "post_id")
+
+
+@query("agg03_domain_tally", f"{WITH}, {PLACED}, {VOTES} SELECT domain, scam_category, count(*) AS posts FROM votes GROUP BY ALL")
+def agg03(spark: SparkSession, d: str) -> DataFrame:
+    return _votes(spark, d).groupBy("domain", "scam_category").agg(F.count("*").alias("posts"))
+
+
+@query("agg04_domain_majority", f"{WITH}, {PLACED}, {VOTES}, {MAJORITY} SELECT domain, CAST(placed AS BIGINT) AS placed, top, majority FROM majority")
+def agg04(spark: SparkSession, d: str) -> DataFrame:
+    return classify.agreed(_votes(spark, d), "domain")
+
+
+@query("agg05_tally_order", f"{WITH}, {PLACED}, {VOTES} SELECT domain, string_agg(scam_category || ' ' || n, ', ' ORDER BY (scam_category = 'Other'), n DESC, scam_category) AS tally FROM (SELECT domain, scam_category, count(*) AS n FROM votes GROUP BY ALL) GROUP BY domain")
+def agg05(spark: SparkSession, d: str) -> DataFrame:
+    tally = agg03(spark, d)
+    entry = F.struct((F.col("scam_category") == rules.OTHER).alias("o"), (-F.col("posts")).alias("m"), "scam_category")
+    return tally.groupBy("domain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.concat_ws(" ", x["scam_category"], (-x["m"]).cast("string"))), ", ").alias("tally"))
+
+
+@query("rul01_domain_frequency", f"{WITH}, k AS (SELECT * FROM links ANTI JOIN listed USING (domain)) SELECT DISTINCT post_id FROM k WHERE domain IN (SELECT domain FROM k GROUP BY domain HAVING count(DISTINCT account) >= 2)")
+def rul01(spark: SparkSession, d: str) -> DataFrame:
+    return score.frequency(links(spark, d), listed(spark, d))
+
+
+@query(
+    "rul02_domain_lookalike",
+    f"""{WITH}, d AS (SELECT DISTINCT domain, split_part(domain, '.', 1) AS label, CASE WHEN strpos(domain, '.') > 0 THEN substr(domain, strpos(domain, '.') + 1) ELSE '' END AS suffix FROM links),
+    near AS (SELECT DISTINCT x.domain FROM d x JOIN d y ON x.suffix = y.suffix AND x.domain <> y.domain AND abs(length(x.label) - length(y.label)) <= 1 AND damerau_levenshtein(x.label, y.label) = 1)
+    SELECT DISTINCT post_id FROM links SEMI JOIN near USING (domain)""",
+)
+def rul02(spark: SparkSession, d: str) -> DataFrame:
+    return score.lookalike(links(spark, d))
+
+
+@query("rul03_category_conflict", f"{WITH}, {PLACED}, {VOTES}, {MAJORITY} SELECT DISTINCT v.post_id FROM votes v JOIN majority m USING (domain) WHERE m.majority IS NOT NULL AND v.scam_category <> 'Other' AND v.scam_category <> m.majority")
+def rul03(spark: SparkSession, d: str) -> DataFrame:
+    return score.conflict(links(spark, d), classify.placements(posts(spark, d)), listed(spark, d))
+
+
+@query("rul04_content_signals")
+def rul04(spark: SparkSession, d: str) -> DataFrame:
+    """Content signals with the negation guard, which SQL can't say; tested against brute force."""
+    return score.content(posts(spark, d))
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return score.scores(posts(spark, d), table(spark, d, "post_domains"), table(spark, d, "shared_hosts"))
+
+
+@query("agg14_policy_scores")
+def agg14(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).withColumn("signals", F.array_join("signals", ","))
+
+
+@query("top01_review_queue")
+def top01(spark: SparkSession, d: str) -> DataFrame:
+    return score.queue(_scores(spark, d), 50)
+
+
+@query("agg29_score_facts")
+def agg29(spark: SparkSession, d: str) -> DataFrame:
+    s = _scores(spark, d)
+    return s.agg(F.count("*").alias("posts"), F.sum((F.col("points") > 0).cast("bigint")).alias("with_signals"), F.sum(F.array_contains("signals", "category_conflict").cast("bigint")).alias("conflicting"), F.max("score").alias("highest"))
+
+
+@query("mth03_normalised", "SELECT range AS points, CAST((200 * range + 130) // 260 AS INTEGER) AS score FROM range(131)")
+def mth03(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(131).select(F.col("id").alias("points"), score.normalised(F.col("id")).alias("score"))
+
+
+@query("rul07_taxonomy_projection", "SELECT scam_category, categories, reports FROM (VALUES {}) t(scam_category, categories, reports)".format(",".join("({},{},{})".format("NULL" if c is None else f"'{c}'", sum(x[1] == c for x in rules.TAXONOMY), sum(x[2] or 0 for x in rules.TAXONOMY if x[1] == c)) for c in sorted({x[1] for x in rules.TAXONOMY}, key=str))))
+def rul07(spark: SparkSession, d: str) -> DataFrame:
+    return rules.taxonomy(spark).groupBy("scam_category").agg(F.count("*").alias("categories"), F.sum("reports").alias("reports"))
 
 
 @query(
-    "agg01_domain_reach",
-    f"""
-    WITH l AS (SELECT DISTINCT post_id, account, {FOLD.format("x.domain")} AS domain
-               FROM (SELECT post_id, account, unnest(links) AS x FROM post_domains) WHERE x.domain IS NOT NULL)
-    SELECT domain, count(DISTINCT post_id) AS posts, count(DISTINCT account) AS accounts FROM l GROUP BY domain
-    """,
+    "agg16_composition",
+    f"""{WITH}, {PLACED}, n AS (SELECT scam_category AS category, count(*) AS posts FROM placed GROUP BY 1), t AS (SELECT count(*) AS of FROM placed)
+    SELECT c.category, coalesce(n.posts, 0) AS posts, CAST((1000 * coalesce(n.posts, 0) + t.of // 2) // t.of AS BIGINT) AS per_mille FROM (VALUES {",".join(f"('{c}')" for c in rules.CLASSES)}) c(category) LEFT JOIN n USING (category), t""",
 )
-def domain_reach(spark: SparkSession, d: str) -> DataFrame:
-    links = table(spark, d, "post_domains").select("post_id", "account", F.explode(F.array_distinct(F.transform("links", lambda x: folded(x["domain"])))).alias("domain"))
-    return links.where("domain IS NOT NULL").groupBy("domain").agg(F.countDistinct("post_id").alias("posts"), F.countDistinct("account").alias("accounts"))
+def agg16(spark: SparkSession, d: str) -> DataFrame:
+    from sievework.operators.composition import shares
+
+    return shares(classify.placements(posts(spark, d)))
