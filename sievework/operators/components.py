@@ -18,10 +18,10 @@ def star_labels(edges: DataFrame) -> DataFrame:
         # large star: every larger neighbour of x hangs on the smallest of x and its neighbours
         both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        large = both.where("y > x").join(least.hint("merge"), "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         # small star: every smaller neighbour of x, and x itself, hangs on the smallest
         least = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(least, "x").select(F.explode(F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.x", "e.y")
+        small = large.join(least.hint("merge"), "x").select(F.explode(F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.x", "e.y")
         pairs = checkpointed(small.where("x <> y").distinct())
         state = pairs.agg(F.count("*"), F.sum(F.col("x").cast("decimal(38,0)")), F.sum(F.col("y").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
@@ -42,8 +42,8 @@ def named_groups(ties: DataFrame, name: str = "account", solve: Callable[[DataFr
     nodes = checkpointed(nodes.withColumn("id", F.monotonically_increasing_id()))
     left = nodes.where("is_name").select(F.col("node").alias("a"), F.col("id").alias("u"))
     right = nodes.select(F.col("node").alias("b"), "is_name", F.col("id").alias("v"))
-    edges = ties.join(left, "a").join(right, ["b", "is_name"]).where("u <> v").select("u", "v")
+    edges = ties.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "is_name"]).where("u <> v").select("u", "v")
     labels = solve(edges)
-    named = checkpointed(nodes.where("is_name").join(labels.withColumnRenamed("x", "id"), "id").select("node", "label"))
+    named = checkpointed(nodes.where("is_name").join(labels.withColumnRenamed("x", "id").hint("merge"), "id").select("node", "label"))
     heads = named.groupBy("label").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    return named.join(heads, "label").select(F.col("node").alias(name), F.col("head").alias(f"group_{name}"))
+    return named.join(heads.hint("merge"), "label").select(F.col("node").alias(name), F.col("head").alias(f"group_{name}"))
