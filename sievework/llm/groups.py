@@ -7,6 +7,7 @@ and labels return to the removed vertices in the opposite order.
 
 Degrees and neighbours come from algebraic aggregates, and edges are removed by joins on both ends
 together, so no task has to hold a hub's whole neighbourhood.  Every step's result is checkpointed.
+Joins are told to merge: a broadcast in each of many steps would pile up on the driver.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def _strip(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     leaves = _degrees(edges).where("n = 1").select("x", F.col("a").alias("p"))
     # two leaves may be each other's neighbour: the larger one goes
     gone = checkpointed(leaves.groupBy(*_pair("x", "p")).agg(F.max("x").alias("x")))
-    rest = edges.join(gone.select("u", "v"), ["u", "v"], "left_anti")
+    rest = edges.join(gone.select("u", "v").hint("merge"), ["u", "v"], "left_anti")
     parent = F.when(F.col("x") == F.col("u"), F.col("v")).otherwise(F.col("u"))
     return checkpointed(rest), gone.select("x", parent.alias("parent"))
 
@@ -61,7 +62,7 @@ def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a step (x, y) walks from the chain vertex x to its neighbour y; the walk ends behind the chain
     steps = two.select(F.explode(F.array(F.struct("x", F.col("a").alias("y")), F.struct("x", F.col("b").alias("y")))).alias("s")).select("s.x", "s.y")
     inner = two.select(F.col("x").alias("y"), "a", "b")
-    onward = steps.join(inner, "y", "left").select(
+    onward = steps.join(inner.hint("merge"), "y", "left").select(
         "x", "y", F.when(F.col("a").isNull(), F.lit(None)).when(F.col("a") == F.col("x"), F.col("b")).otherwise(F.col("a")).alias("z"), F.least("x", "y").alias("low")
     )
     # (x, y): the step; (px, py): the step that its pointer has reached, py null-free while inside; end: the chain's end once known
@@ -74,13 +75,13 @@ def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         before = (state.open, state.low)
         ahead = walk.select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("end").alias("q_end"), F.col("low").alias("q_low"), F.col("rank").alias("q_rank"))
-        moving = walk.where("px IS NOT NULL").join(ahead, ["px", "py"]).select("x", "y", F.col("qx").alias("px"), F.col("qy").alias("py"), F.col("q_end").alias("end"), F.least("low", "q_low").alias("low"), (F.col("rank") + F.col("q_rank")).alias("rank"))
+        moving = walk.where("px IS NOT NULL").join(ahead.hint("merge"), ["px", "py"]).select("x", "y", F.col("qx").alias("px"), F.col("qy").alias("py"), F.col("q_end").alias("end"), F.least("low", "q_low").alias("low"), (F.col("rank") + F.col("q_rank")).alias("rank"))
         walk = checkpointed(_together(walk.where("px IS NULL"), moving))
     # what is still walking goes round a cycle: its smallest vertex stands for it
     ends = walk.groupBy("x").agg(F.min("end").alias("a"), F.max("end").alias("b"), F.min("low").alias("low"))
     ends = checkpointed(ends.where("a IS NOT NULL OR x <> low").select("x", "a", "b", F.coalesce("a", "low").alias("parent")))
     touched = two.select(F.explode(F.array(F.struct(*_pair("x", "a")), F.struct(*_pair("x", "b")))).alias("e")).select("e.u", "e.v").distinct()
-    rest = edges.join(touched, ["u", "v"], "left_anti").unionByName(ends.where("a < b").select(F.col("a").alias("u"), F.col("b").alias("v"))).distinct()
+    rest = edges.join(touched.hint("merge"), ["u", "v"], "left_anti").unionByName(ends.where("a < b").select(F.col("a").alias("u"), F.col("b").alias("v"))).distinct()
     return checkpointed(rest), ends.select("x", "parent")
 
 
@@ -108,7 +109,7 @@ def components(edges: DataFrame) -> DataFrame:
     for step in reversed(removed):
         # a parent that no label reached is the last vertex of its component: it labels itself
         known = labels.withColumnRenamed("x", "parent")
-        named = step.join(known, "parent", "left").select("x", "parent", F.coalesce("label", "parent").alias("label"), F.col("label").isNull().alias("new"))
+        named = step.join(known.hint("merge"), "parent", "left").select("x", "parent", F.coalesce("label", "parent").alias("label"), F.col("label").isNull().alias("new"))
         roots = named.where("new").select(F.col("parent").alias("x"), "label").distinct()
         labels = checkpointed(_together(labels, named.select("x", "label"), roots))
     return labels
