@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,14 +42,38 @@ def labels(parts: int) -> list[int]:
     return [found[i] for i in range(parts)]
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _checkpoint_dir(spark: SparkSession) -> str:
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        # unset only outside clusters, as in tests: one folder for each application
+        own = [path for s, path in _written if s.sparkContext.applicationId == spark.sparkContext.applicationId]
+        at = own[0].rsplit("/", 1)[0] if own else "file://" + tempfile.mkdtemp(prefix="sievework-checkpoint-")
+    return at
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder of the session, so that its lineage ends there.
+    """``df`` as a table written to the shared folder in ``spark.checkpoint.dir``, so that its lineage ends there.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset, as in tests, a
-    temporary one is made.
+    A table, rather than ``checkpoint()``, also ends what the optimizer carries along: orderings and
+    partitionings of earlier steps otherwise pile up over an iteration until planning takes longer
+    than running.  The tables are removed when the driver's Python exits.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="sievework-checkpoint-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{_checkpoint_dir(spark)}/sievework-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove_written() -> None:
+    for spark, path in _written:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session may be gone by now
+            return
