@@ -149,3 +149,17 @@ def reach(contacts: DataFrame) -> DataFrame:
         *(F.array_sort(F.collect_set(c)).alias(n) for c, n in (("account", "accounts"), ("post_id", "posts"), ("m.found_as", "spellings")))
     )
     return sets.withColumn("shared", F.size("accounts") > 1)
+
+
+def recall(published: DataFrame, found: DataFrame) -> DataFrame:
+    """(found, missed, stray, invented): published points read or not, and read ones that weren't published.
+
+    Both inputs hold distinct (post_id, value).  A point that was read though the post publishes
+    others is stray; in a post that publishes none it is invented.
+    """
+    both = published.withColumn("p", F.lit(True)).join(found.withColumn("f", F.lit(True)), ["post_id", "value"], "full")
+    some = published.select("post_id").distinct().withColumn("some", F.lit(True))
+    rows = both.join(some, "post_id", "left")
+    n = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("bigint")), F.lit(0))
+    p, f, s = F.col("p").isNotNull(), F.col("f").isNotNull(), F.col("some").isNotNull()
+    return rows.agg(n(p & f).alias("found"), n(p & ~f).alias("missed"), n(~p & f & s).alias("stray"), n(~p & f & ~s).alias("invented"))

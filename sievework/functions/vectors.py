@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,13 +56,43 @@ def embedding(text: Column | str) -> Column:
     return F.pandas_udf(_embed_each, "array<float>")(text)
 
 
+#: Rows of a block of a group that meets the group's other blocks.
+BLOCK_ROWS = 1000
+
+
 def cross_group_nearest(vectors: DataFrame, within: str, group: str, key: str = "post_id", vector: str = "embedding") -> DataFrame:
-    """(within, key, nearest, distance): the closest row of another group among those that share ``within``; ties to the smallest key."""
-    a = vectors.select(within, F.col(key).alias("k"), F.col(group).alias("g"), F.col(vector).alias("v"))
-    b = vectors.select(within, F.col(key).alias("k2"), F.col(group).alias("g2"), F.col(vector).alias("v2"))
-    pairs = a.join(b, within).where("g <> g2").select(within, "k", "k2", cosine_distance("v", "v2").alias("d")).where("d IS NOT NULL")
-    best = pairs.groupBy(within, "k").agg(F.min(F.struct("d", "k2")).alias("best"))
-    return best.select(within, F.col("k").alias(key), F.col("best.k2").alias("nearest"), F.col("best.d").alias("distance"))
+    """(within, key, nearest, distance): the closest row of another group among those that share ``within``; ties to the smallest key.
+
+    A large ``within`` is dealt into blocks, and every pair of blocks is one matrix product, so a
+    task holds two blocks however large the whole is.  All-zero vectors and null groups have no
+    neighbours.
+    """
+    rows = vectors.where(F.col(group).isNotNull() & F.exists(vector, lambda x: x != 0)).select(F.col(within).alias("w"), F.col(key).alias("k"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v"))
+    size = rows.groupBy("w").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n"))
+    dealt = rows.join(size, "w").withColumn("own", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    left = dealt.select("w", "k", "g", "v", F.col("own").alias("i"), every.alias("j"))
+    right = dealt.select("w", "k", "g", "v", every.alias("i"), F.col("own").alias("j"))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if a.num_rows and b.num_rows:
+            b = b.sort_by("k")
+            x, y = (_unit(np.stack(t["v"].to_numpy())) for t in (a, b))
+            codes = {g: i for i, g in enumerate(sorted({*a["g"].to_pylist(), *b["g"].to_pylist()}))}
+            ga, gb = (np.array([codes[g] for g in t["g"].to_pylist()]) for t in (a, b))
+            d = np.where(ga[:, None] == gb[None, :], np.inf, 1 - x @ y.T)
+            near = np.round(d, 12).argmin(1)
+            names, keys, w = b["k"].to_pylist(), a["k"].to_pylist(), a["w"][0].as_py()
+            out = [(w, keys[i], float(d[i, j]), names[j]) for i, j in enumerate(near) if np.isfinite(d[i, j])]
+        return pa.table([pa.array(list(c), t) for c, t in zip(list(zip(*out)) or [()] * 4, (a.schema.field("w").type, a.schema.field("k").type, pa.float64(), a.schema.field("k").type))], ["w", "k", "d", "k2"])
+
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("w", "k")]
+    again = right.toDF("w2", "k", "g", "v", "i2", "j2")
+    met = left.groupBy("w", "i", "j").cogroup(again.groupBy("w2", "i2", "j2"))
+    pairs = met.applyInArrow(best, f"w {kinds[0]}, k {kinds[1]}, d double, k2 {kinds[1]}")
+    chosen = pairs.groupBy("w", "k").agg(F.min(F.struct("d", "k2")).alias("best"))
+    return chosen.select(F.col("w").alias(within), F.col("k").alias(key), F.col("best.k2").alias("nearest"), F.col("best.d").alias("distance"))
 
 
 def nearest_of(queries: DataFrame, vectors: DataFrame, k: int, key: str, vector: str = "embedding") -> DataFrame:

@@ -88,3 +88,24 @@ def candidates(posts: DataFrame, post_domains: DataFrame, contacts: DataFrame, h
     order = Window.orderBy(F.desc(timely), F.desc(similar), F.desc("accounts"), F.desc("posts"), "group_account")
     numbered = out.withColumn("candidate_id", F.format_string("cc-%02d", F.row_number().over(order)))
     return numbered.select("candidate_id", "group_account", "first_seen", "accounts", "posts", F.coalesce("pieces", F.lit(0)).alias("pieces"), F.coalesce("corroborated", F.lit(0)).alias("corroborated"), "closest_seconds", similar.alias("similar"), "closest_distance", "majority", held.alias("retained"))
+
+
+def filter_effect(unfiltered: DataFrame, filtered: DataFrame) -> DataFrame:
+    """(before, after, changed): groups without and with the filter, and how many of the former aren't groups of the latter.
+
+    Groups are told apart by their size and a sum of their members' hashes, so no group is collected.
+    """
+    mark = lambda df: groups(df).groupBy("group_account").agg(F.count("*").alias("n"), F.sum(F.xxhash64("account").cast("decimal(38,0)")).alias("h"))
+    before, after = checkpointed(mark(unfiltered)), checkpointed(mark(filtered))
+    gone = before.join(after, ["group_account", "n", "h"], "left_anti")
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(before, "before").crossJoin(count(after, "after")).crossJoin(count(gone, "changed"))
+
+
+def survey(posts: DataFrame, unfiltered: DataFrame, filtered: DataFrame, members: DataFrame) -> DataFrame:
+    """(account, state): in candidate, alone (reaches something unlisted), silenced (only listed things) or unreachable."""
+    flag = lambda df, name: df.select("account").distinct().withColumn(name, F.lit(True))
+    rows = posts.where("account IS NOT NULL").select("account").distinct()
+    for df, name in ((members, "grouped"), (filtered, "some"), (unfiltered, "any")):
+        rows = rows.join(flag(df, name), "account", "left")
+    return rows.select("account", F.when(F.col("grouped"), "in candidate").when(F.col("some"), "alone").when(F.col("any"), "silenced").otherwise("unreachable").alias("state"))
