@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from sievework.plans import domains, groups, posts  # noqa: F401
+    from sievework.plans import domains, groups, measures, posts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
