@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import groups, knn, near_dup, packing, repetition, spans, tokens
+from sievework.llm import groups, knn, near_dup, packing, repetition, spans, sql, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,4 +60,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ALL)
