@@ -109,10 +109,12 @@ def _encode(dimensions: int, shared, marks: list[int]):
             y = _unit(_matrix(batch["embedding"].take(pa.array(first)), dimensions)).astype(np.float32) @ turn
             if not len(key):
                 continue
-            near = y @ centre.T
             width = min(PROBES, len(centre))
-            probes = np.argpartition(-near, width - 1, axis=1)[:, :width].astype(np.int32) if width < len(centre) else np.tile(np.arange(len(centre), dtype=np.int32), (len(y), 1))
-            home = near.argmax(1).astype(np.int32)
+            home, probes = np.empty(len(y), np.int32), np.empty((len(y), width), np.int32)
+            for i in range(0, len(y), 1024):  # a batch against thousands of cells is too much at once
+                near = y[i : i + 1024] @ centre.T
+                home[i : i + 1024] = near.argmax(1)
+                probes[i : i + 1024] = np.argpartition(near, len(centre) - width, axis=1)[:, -width:]
             scale = np.abs(y).max(1) / 127
             code = np.rint(y / scale[:, None]).astype(np.int8)
             bits = np.packbits(y > 0, axis=1)
