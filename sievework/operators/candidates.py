@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from sievework.functions.vectors import cross_group_nearest
 from sievework.operators.classify import agreed
 from sievework.operators.components import named_groups
+from sievework.operators.ranges import numbered
 from sievework.operators.score import domain_links, withheld_domains
 from sievework.partitioning import checkpointed
 
@@ -85,9 +86,10 @@ def candidates(posts: DataFrame, post_domains: DataFrame, contacts: DataFrame, h
         out = out.withColumns({"compared": F.lit(0), "near": F.lit(0), "closest_distance": F.lit(None).cast("double")})
     timely, similar = F.coalesce(F.col("corroborated") > 0, F.lit(False)), F.coalesce((F.col("compared") > 0) & (F.col("near") == F.col("posts")), F.lit(False))
     held = timely.cast("int") + similar.cast("int") + F.col("majority").isNotNull().cast("int") >= QUORUM
-    order = Window.orderBy(F.desc(timely), F.desc(similar), F.desc("accounts"), F.desc("posts"), "group_account")
-    numbered = out.withColumn("candidate_id", F.format_string("cc-%02d", F.row_number().over(order)))
-    return numbered.select("candidate_id", "group_account", "first_seen", "accounts", "posts", F.coalesce("pieces", F.lit(0)).alias("pieces"), F.coalesce("corroborated", F.lit(0)).alias("corroborated"), "closest_seconds", similar.alias("similar"), "closest_distance", "majority", held.alias("retained"))
+    keyed = out.withColumns({"timely": timely, "similar": similar, "held": held})
+    order = [F.desc("timely"), F.desc("similar"), F.desc("accounts"), F.desc("posts"), F.asc("group_account")]
+    named = numbered(keyed, order, "number").withColumn("candidate_id", F.format_string("cc-%02d", "number"))
+    return named.select("candidate_id", "group_account", "first_seen", "accounts", "posts", F.coalesce("pieces", F.lit(0)).alias("pieces"), F.coalesce("corroborated", F.lit(0)).alias("corroborated"), "closest_seconds", "similar", "closest_distance", "majority", F.col("held").alias("retained"))
 
 
 def filter_effect(unfiltered: DataFrame, filtered: DataFrame) -> DataFrame:

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from sievework.operators.ranges import running
 
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """(auc): share of (positive, negative) pairs in the right order, ties half; 0.5 if a class is empty.
 
-    Counts are taken by distinct score first, so the running sum goes over scores, not rows: only
-    the partial sums of the scores' ranges meet in one task.  Null scores and labels are left out.
+    Counts are taken by distinct score first; the running sum over scores goes by ranges.  Null scores
+    and labels are left out.
     """
     tally = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.sum((1 - F.col(label).cast("int")).cast("double")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    parts = tally.select("p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("won"))
+    parts = running(tally, [F.asc("s")], F.col("n"), "below").select("p", "n", (F.col("p") * (F.col("below") + F.col("n") / 2)).alias("won"))
     total = parts.agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return total.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / (F.col("p") * F.col("n"))).otherwise(0.5).alias("auc"))
 

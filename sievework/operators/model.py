@@ -6,9 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sievework.functions.text import word_count
+from sievework.operators.ranges import numbered
 from sievework.partitioning import checkpointed
 
 STEPS, RATE, PENALTY = 400, 0.5, 0.01
@@ -37,11 +37,7 @@ def folds(accounts: DataFrame, truth: DataFrame) -> DataFrame:
     if not n:
         raise ValueError("no planted group, hence no folds")
     others = accounts.select("account").distinct().where("account IS NOT NULL").join(truth, "account", "left_anti")
-    # dense numbering by name: count in each range, then add the counts of the ranges before
-    ranged = others.repartitionByRange("account").withColumn("part", F.spark_partition_id())
-    ranged = checkpointed(ranged)
-    before = ranged.groupBy("part").agg(F.count("*").alias("c")).withColumn("base", F.sum("c").over(Window.orderBy("part")) - F.col("c")).select("part", "base")
-    dealt = ranged.join(F.broadcast(before), "part").select("account", ((F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy("account")) - 1) % n).cast("int").alias("fold"), F.lit(False).alias("label"))
+    dealt = numbered(others, [F.asc("account")], "k").select("account", ((F.col("k") - 1) % n).cast("int").alias("fold"), F.lit(False).alias("label"))
     return truth.select("account", F.col("place").cast("int").alias("fold"), F.lit(True).alias("label")).unionByName(dealt)
 
 

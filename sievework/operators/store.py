@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievework.operators.ranges import running
+
 
 def upserted(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """Stored rows with those of the same key replaced by fresh ones, and the new ones added."""
@@ -46,5 +48,6 @@ def top(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
 def upper_median(rows: DataFrame, column: str) -> DataFrame:
     """(upper_median): the value at place n // 2 of the sorted values, by counts of distinct values."""
     tally = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c"))
-    upto = tally.select(column, F.sum("c").over(Window.orderBy(column)).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    return upto.where(F.col("upto") > F.floor(F.col("n") / 2)).agg(F.min(column).alias("upper_median"))
+    half = tally.agg(F.floor(F.sum("c") / 2).alias("half"))
+    placed = running(tally, [F.asc(column)], F.col("c"), "before").crossJoin(F.broadcast(half))
+    return placed.where(F.col("before") + F.col("c") > F.col("half")).agg(F.min(column).alias("upper_median"))
