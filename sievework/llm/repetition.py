@@ -57,7 +57,7 @@ def repeated_words(h: np.ndarray, at: np.ndarray, run: int = RUN) -> np.ndarray:
 
 
 def statistics(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rule statistics of every text: the shares of repeated words, pairs and triples of words, and of its commonest pair."""
+    """Rule statistics of every text: the shares of repeated words, pairs and triples of words, and how far the last exceeds half the first."""
     n = np.maximum(np.diff(at), 1)
     out = np.zeros((len(at) - 1, _FEATURES))
     out[:, 0] = 1 - _per_text(_first_seen(h, at), at) / n
