@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import word_count
 from sievework.operators.ranges import numbered
-from sievework.partitioning import checkpointed
+from sievework.partitioning import checkpointed, labels, shuffle_width
 
 STEPS, RATE, PENALTY = 400, 0.5, 0.01
 FEATURES = ("title_words", "body_words", "links", "registrable_domains", "unresolved_links", "contact_points", "words_with_digits")
@@ -67,27 +68,100 @@ def sigmoid(t: Column) -> Column:
     return F.when(t >= 0, 1 / (1 + F.exp(-t))).otherwise(F.exp(t) / (1 + F.exp(t)))
 
 
+def train_held(x: np.ndarray, y: np.ndarray, n: np.ndarray, fold: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, biases, means, scales), a row for each held fold: what ``train`` gives on the rows of all other folds.
+
+    The fits take their steps together: a fit's sums run over the patterns of all rows, each
+    counted without its rows in the held fold.
+    """
+    k = x.shape[1]
+    held = np.sort(held)
+    pattern, inverse = np.unique(np.column_stack([x, y]), axis=0, return_inverse=True)
+    inverse = inverse.ravel()
+    total = np.bincount(inverse, n, len(pattern))
+    x, y = pattern[:, :k], pattern[:, k]
+    at = np.minimum(np.searchsorted(held, fold), len(held) - 1)
+    mine = np.flatnonzero(held[at] == fold)
+    mine = mine[np.argsort(at[mine], kind="stable")]
+    first = np.searchsorted(at[mine], np.arange(len(held) + 1))
+    mean, scale, size = np.empty((len(held), k)), np.empty((len(held), k)), np.empty(len(held))
+    for i in range(len(held)):
+        own = mine[first[i] : first[i + 1]]
+        rest = total.copy()
+        np.subtract.at(rest, inverse[own], n[own])
+        if len(np.unique(y[rest > 0])) < 2:
+            raise ValueError("both classes are needed")
+        size[i] = rest.sum()
+        mean[i] = rest @ x / size[i]
+        scale[i] = np.sqrt(rest @ (x - mean[i]) ** 2 / size[i])
+    scale = np.where(scale > 0, scale, 1.0)
+    # a pattern's share that stays when a fold is held out, where that isn't all
+    row, col = np.divmod(np.unique(inverse[mine] * len(held) + at[mine]), len(held))
+    out = np.zeros(len(row))
+    np.add.at(out, np.searchsorted(row * len(held) + col, inverse[mine] * len(held) + at[mine]), n[mine])
+    stays = 1 - out / total[row]
+    # sums around the middle of all rows keep their digits
+    middle = total @ x / total.sum()
+    z = np.column_stack([x - middle, np.ones(len(x))])
+    step = max(64, 65_536 // len(held))
+    cuts = [(i, min(i + step, len(z)), *np.searchsorted(row, (i, i + step))) for i in range(0, len(z), step)]
+    shift = mean - middle
+    w, b = np.zeros((len(held), k)), np.zeros(len(held))
+    for _ in range(STEPS):
+        slope = w / scale
+        line = np.column_stack([slope, b - (slope * shift).sum(1)]).T
+        g = np.zeros((k + 1, len(held)))
+        for i, j, f, t in cuts:
+            error = z[i:j] @ -line
+            with np.errstate(over="ignore"):
+                np.exp(error, out=error)
+            error += 1
+            np.reciprocal(error, out=error)
+            error -= y[i:j, None]
+            error *= total[i:j, None]
+            error[row[f:t] - i, col[f:t]] *= stays[f:t]
+            g += z[i:j].T @ error
+        g /= size
+        w, b = w - RATE * ((g[:k].T - shift * g[k][:, None]) / scale + PENALTY * w), b - RATE * g[k]
+    return w, b, mean, scale
+
+
 def fit_folds(rows: DataFrame, columns: tuple[str, ...] = FEATURES, local_rows: int = 2_000_000) -> DataFrame:
     """(held, bias, weights, means, scales): one fit for each fold on the rows of the others.
 
     Rows with equal features and label train alike, so they are counted first.  While that leaves at
-    most ``local_rows`` rows, a fold is fitted in one task; beyond it every step sums the gradients
-    of all folds over the partitions, which gives the same fit.
+    most ``local_rows`` rows, each task has all of them and fits its share of the folds; beyond it
+    every step sums the gradients of all folds over the partitions, which gives the same fit.
     """
     counted = checkpointed(rows.groupBy("fold", "label", *columns).agg(F.count("*").alias("rows")))
     if counted.count() > local_rows:
         return _fit_distributed(counted, columns)
-    held = counted.select(F.col("fold").alias("held")).distinct()
-    others = held.join(counted, F.col("held") != F.col("fold"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, n = pdf[list(columns)].to_numpy(np.float64), pdf["label"].to_numpy(np.float64), pdf["rows"].to_numpy(np.float64)
-        w, b, mean, scale = train(x, y, n)
-        return pd.DataFrame({"held": [pdf["held"].iloc[0]], "bias": [b], "weights": [w], "means": [mean], "scales": [scale]})
-
-    return others.groupBy("held").applyInPandas(fit, _FIT)
-
-
+    spark = counted.sparkSession
+    marks = labels(shuffle_width(spark))
+    names = ["fold", "label", "rows", *columns]
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([np.stack([c.cast(pa.float64()).to_numpy() for c in batch.columns]).tobytes()], pa.binary())], ["packed"])
+
+    def fit(table: pa.Table) -> pa.Table:
+        data = np.concatenate([np.frombuffer(p, np.float64).reshape(len(names), -1) for p in table["packed"].to_pylist()], 1)
+        fold = data[0].astype(np.int64)
+        part = marks.index(table["part"][0].as_py())
+        held = np.unique(fold)[part :: len(marks)]
+        if not len(held):
+            return pa.table([pa.array([], t) for t in _KINDS], _NAMES)
+        w, b, mean, scale = train_held(np.ascontiguousarray(data[3:].T), data[1], data[2], fold, held)
+        return pa.table([pa.array(list(v), t) for v, t in zip((held, b, w, mean, scale), _KINDS)], _NAMES)
+
+    packed = counted.select("fold", F.col("label").cast("int").alias("label"), "rows", *columns).mapInArrow(pack, "packed binary")
+    parts = packed.select(F.explode(F.array(*map(F.lit, marks))).alias("part"), "packed")
+    return parts.repartition(len(marks), "part").groupBy("part").applyInArrow(fit, _FIT)
+
+
+_KINDS = (pa.int32(), pa.float64(), *[pa.list_(pa.float64())] * 3)
+_NAMES = ["held", "bias", "weights", "means", "scales"]
 _FIT = "held int, bias double, weights array<double>, means array<double>, scales array<double>"
 
 

@@ -142,12 +142,8 @@ def ml01(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ml05_confidences")
 def ml05(spark: SparkSession, d: str) -> DataFrame:
-    """Confidences of all posts, each by the fit of the folds it isn't in.
-
-    Places are folded to five, as a fit for each of hundreds of groups would say little more.
-    """
-    truth = _truth(spark, d).withColumn("place", F.col("place") % 5)
-    folds = model.folds(posts(spark, d), truth)
+    """Confidences of all posts, each by the fit of the campaigns it isn't held out with: one fit for each campaign."""
+    folds = model.folds(posts(spark, d), _truth(spark, d))
     rows = model.features(posts(spark, d), table(spark, d, "post_domains"), table(spark, d, "post_contacts")).join(folds, "account")
     return model.confidences(rows)
 

@@ -176,6 +176,38 @@ def test_distributed_fit_equals_local(spark, monkeypatch):
         assert np.allclose(got, [b, *w], atol=1e-9)
 
 
+def test_fits_of_many_folds_equal_one_by_one():
+    r = np.random.default_rng(3)
+    x, y, n, fold = r.integers(0, 5, (300, 3)).astype(float), r.integers(0, 2, 300).astype(float), r.integers(1, 4, 300).astype(float), r.integers(0, 23, 300)
+    x[:, 2] = np.where(fold == 7, x[:, 2], 2)  # no spread once fold 7 is held out
+    held = np.array([0, 7, 22])
+    for got, f in zip(zip(*model.train_held(x, y, n, fold, held)), held):
+        keep = fold != f
+        want = [*model.train(x[keep][:, :2], y[keep], n[keep])]
+        if f == 7:
+            assert got[3][2] == 1 and abs(got[0][2]) < 1e-12
+            got = (got[0][:2], got[1], got[2][:2], got[3][:2])
+        else:
+            want = [*model.train(x[keep], y[keep], n[keep])]
+        for a, b in zip(got, want):
+            assert np.allclose(a, b, atol=1e-11)
+
+
+def test_a_fold_for_each_campaign(spark, tmp_path):
+    from sievework.plans import registry
+
+    post = [(f"p{i:02}", f"a{i // 2:02}", "s", "word " * (i % 7), "word 1 " * (i % 5), "2024", []) for i in range(40)]
+    spark.createDataFrame(post, "post_id string, account string, subreddit string, title string, body string, created_at string, links array<string>").write.parquet(f"{tmp_path}/corpus.parquet")
+    spark.createDataFrame([], "post_id string, domains array<string>, links array<struct<unresolved: string>>").write.parquet(f"{tmp_path}/post_domains.parquet")
+    spark.createDataFrame([], "post_id string, contact_points array<string>").write.parquet(f"{tmp_path}/post_contacts.parquet")
+    spark.createDataFrame([(f"c{i}", [f"a{i:02}"], (True,)) for i in range(8)], "candidate_id string, accounts array<string>, cohesion struct<retained: boolean>").write.parquet(f"{tmp_path}/campaign_candidates.parquet")
+    queries = registry.queries()
+    folds = {r.account: r.fold for r in queries["win06_folds"](spark, str(tmp_path)).collect()}
+    got = queries["ml05_confidences"](spark, str(tmp_path)).collect()
+    assert len(got) == 40 and len(set(folds.values())) == 8
+    assert {r.account: r.fold for r in got} == folds
+
+
 def test_embedding():
     v = vectors.embed("Hello world\nhello")
     assert abs(float((v.astype(float) ** 2).sum()) - 1) < 1e-6 and vectors.embed(" .. ") is None
