@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.partitioning import labels, shuffle_width
+from sievework.partitioning import checkpointed, labels, shuffle_width
 
 SAMPLE = 16_384
 MAX_CELLS = 4_096
@@ -138,7 +138,9 @@ def _near(query: np.ndarray, qkey: np.ndarray, bits: np.ndarray, bkey: np.ndarra
     signs /= (np.sqrt(d) * correction)[:, None]
     floor = 1 - within
     spread = np.sqrt(np.maximum(1 - correction**2, 0)) / correction / np.sqrt(d - 1)
-    bound = (SIGMAS * spread * np.sqrt(max(0.0, 1 - floor * floor)) + 4e-3).astype(np.float32)
+    # the largest sine of an angle that is within the distance
+    sine = np.sqrt(1 - floor * floor) if floor > 0 else 1.0
+    bound = (SIGMAS * spread * sine + 4e-3).astype(np.float32)
     out = []
     for i in range(0, len(query), 512):
         est = query[i : i + 512] @ signs.T
@@ -260,9 +262,50 @@ def _rerank(dimensions: int, within: float):
     return run
 
 
+def _blocks(batches):
+    for batch in batches:
+        if batch.num_rows:
+            x = _matrix(batch["embedding"], len(batch["embedding"][0]))
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (batch["key"].to_numpy().tobytes(), x.tobytes())], ["key", "vector"])
+
+
+def _nearest_of_block(dimensions: int, k: int):
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                a, b = np.frombuffer(r["key"], np.int64), np.frombuffer(r["key_b"], np.int64)
+                x, z = (_unit(np.frombuffer(r[c], np.float32).reshape(-1, dimensions)) for c in ("vector", "vector_b"))
+                x32, z32 = x.astype(np.float32), z.astype(np.float32)
+                for i in range(0, len(x), 512):
+                    near = x32[i : i + 512] @ z32.T
+                    near[a[i : i + 512, None] == b[None, :]] = -9
+                    most = min(k, len(b))
+                    # single precision errs by less than the slack
+                    p, q = np.nonzero((near >= np.partition(near, len(b) - most, axis=1)[:, len(b) - most, None] - 1e-5) & (near > -9))
+                    distance = np.maximum(1 - np.einsum("ij,ij->i", x[i + p], z[q]), 0.0)
+                    yield pa.RecordBatch.from_arrays([pa.array(a[i + p]), pa.array(b[q]), pa.array(distance)], ["a", "b", "distance"])
+
+    return run
+
+
+def _all_pairs(keyed: DataFrame, dimensions: int, k: int, within: float) -> DataFrame:
+    """(a, b, distance) of distinct vectors of which one is among the k nearest of the other, by comparing all with all."""
+    once = keyed.repartition(shuffle_width(keyed.sparkSession), "key").dropDuplicates(["key"])
+    blocks = checkpointed(once.mapInArrow(_blocks, "key binary, vector binary"))
+    both = blocks.crossJoin(blocks.select(F.col("key").alias("key_b"), F.col("vector").alias("vector_b")))
+    found = both.mapInArrow(_nearest_of_block(dimensions, k), "a bigint, b bigint, distance double").where(F.col("distance") <= within + 1e-9)
+    best = found.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy("distance"))).where(F.col("r") <= k)
+    return best.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("distance").alias("distance"))
+
+
 def class_neighbours(vectors: DataFrame, dimensions: int, k: int, within: float) -> DataFrame:
-    """(a, b, distance) of distinct vectors by class key: exact distances of the candidates that the codes leave."""
+    """(a, b, distance) of distinct vectors by class key: exact distances of the candidates that the codes leave.
+
+    From a distance of 1 on neither codes nor cells tell near from far, so all are compared with all.
+    """
     spark = vectors.sparkSession
+    if within >= 1:
+        return _all_pairs(vectors.select(F.xxhash64("embedding").alias("key"), "embedding"), dimensions, k, within)
     marks = labels(shuffle_width(spark))
     parts = len(marks)
     shared = spark.sparkContext.broadcast(_cells(vectors, dimensions))

@@ -23,6 +23,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.close_pairs(knn.usable(_table(spark, d, "content_embeddings"), 256), 256, k=5, within=0.12)
 
 
+def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 nearest other posts of every post, however far, with their cosine distance."""
+    return knn.neighbours(knn.usable(_table(spark, d, "content_embeddings"), 256), 256, k=5)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.account_groups(*(_table(spark, d, n) for n in ("campaign_candidates", "post_contacts", "shared_hosts")))
 
@@ -56,7 +61,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p5_shares, p6_ids, p7_containers, p7_fill, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_nearest, p3_found, p5_found, p5_shares, p6_ids, p7_containers, p7_fill, p8_found, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -37,6 +37,30 @@ def test_recall_and_exact_distances(spark):
     assert len(found) >= 0.98 * len(truth)
 
 
+def test_nearest_at_any_distance(spark):
+    x = rows(500, 4)
+    ids = [f"p{i:04}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, 256, v.tolist(), "k", 0.0) for i, v in zip(ids, x)], SCHEMA).repartition(4)
+    got = {}
+    for r in K.neighbours(K.usable(df, 256), 256, 5).collect():
+        got.setdefault(r.post_id, []).append((round(r.distance, 9), r.nearest))
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    d = np.round(1 - u @ u.T, 9)
+    for i, a in enumerate(ids):
+        want = sorted((abs(d[i, j]), b) for j, b in enumerate(ids) if j != i)[:5]
+        assert sorted(n for _, n in got[a]) == sorted(n for _, n in want)
+        assert np.allclose(sorted(v for v, _ in got[a]), [v for v, _ in want], atol=1e-8)
+
+
+def test_codes_bound_any_distance():
+    u = K._unit(rows(402, 5)).astype(np.float32) @ K.rotation(256)
+    key = np.arange(len(u))
+    pairs = {tuple(p) for p in K._near(u, key, np.packbits(u > 0, axis=1), key, (np.abs(u).sum(1) / 16).astype(np.float32), 2.0, 5)}
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    assert sum((i, j) in pairs for i in key for j in np.argsort(-s[i])[:5]) >= 0.99 * 5 * len(u)
+
+
 def test_equal_vectors_stay_linear(spark):
     data = [(f"p{i:04}", 256, [1.0, 2.0] * 128, "k", 0.0) for i in range(300)]
     found = K.neighbours(K.usable(spark.createDataFrame(data, SCHEMA), 256), 256, 5, 0.12).collect()
