@@ -129,10 +129,11 @@ def contact_scan(title: Column | str, body: Column | str, links: Column | str) -
 def extract(posts: DataFrame) -> DataFrame:
     """(post_id, account, contact_points, matches, unread) of every post.
 
-    Only posts with an @ in their text or a link that can name a contact go through Python; null
-    texts and lists count as empty.
+    Only posts with an @ in their text or a link that can name a contact, that urlparse may
+    refuse (brackets, other scripts) or cleans (tabs, line breaks) go through Python; null texts and lists
+    count as empty.
     """
-    link = F.exists(F.coalesce("links", F.array().cast("array<string>")), lambda x: x.rlike(r"(?i)mailto:|t\.me|telegram\.me|//\["))
+    link = F.exists(F.coalesce("links", F.array().cast("array<string>")), lambda x: x.rlike(r"(?i)mailto:|t\.me|telegram\.me|[\[\]\t\r\n]|[^\x00-\x7F]"))
     needs = F.coalesce(F.contains("title", F.lit("@")), F.lit(False)) | F.coalesce(F.contains("body", F.lit("@")), F.lit(False)) | F.coalesce(link, F.lit(False))
     one = posts.dropDuplicates(["post_id"])
     empty = F.struct(F.array().cast(f"array<struct<{MATCH}>>").alias("matches"), F.array().cast(f"array<struct<{UNREAD}>>").alias("unread"))

@@ -208,6 +208,14 @@ def test_a_fold_for_each_campaign(spark, tmp_path):
     assert {r.account: r.fold for r in got} == folds
 
 
+def test_odd_links_are_scanned(spark):
+    links = ["http://exa]mple.com", "https://user@[::1/x", "http://\u2100.example", "mail\nto:anna@b.example", "https://t\n.me/anna_b", "https://plain.example"]
+    rows = [(str(i), "a", None, None, [x]) for i, x in enumerate(links)]
+    out = {r.post_id: r for r in contacts.extract(spark.createDataFrame(rows, "post_id string, account string, title string, body string, links array<string>")).collect()}
+    assert [[u.reason for u in out[str(i)].unread] for i in range(6)] == [["malformed"]] * 3 + [[]] * 3
+    assert [out[str(i)].contact_points for i in range(3, 6)] == [["anna@b.example"], ["anna_b"], []]
+
+
 def test_embedding():
     v = vectors.embed("Hello world\nhello")
     assert abs(float((v.astype(float) ** 2).sum()) - 1) < 1e-6 and vectors.embed(" .. ") is None
