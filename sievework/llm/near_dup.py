@@ -179,7 +179,7 @@ def _prefix_rows(t: float, shingle: int, least_words: int, shared, marks: list[i
         h = K.mix(tokens[keep])
         doc_o, early = doc[keep], early[keep]
         bucket = (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        maps, size = _bitmaps(tokens, at), np.minimum(n, 65535)
+        maps, size = _bitmaps(tokens, at), n
         o = np.lexsort((~early, doc_o, bucket))
         h, doc_o, early = h[o].astype(np.uint32), doc_o[o], early[o]
         edge = np.searchsorted(bucket[o], np.arange(parts + 1, dtype=np.uint64))
@@ -190,7 +190,7 @@ def _prefix_rows(t: float, shingle: int, least_words: int, shared, marks: list[i
                 continue
             who, local = np.unique(doc_o[s], return_inverse=True)
             counts = np.stack([np.bincount(local[early[s]], minlength=len(who)), np.bincount(local[~early[s]], minlength=len(who))]).astype(np.uint32)
-            out.append((marks[p], h[s].tobytes(), counts.tobytes(), key[who].tobytes(), size[who].astype(np.uint16).tobytes(), maps[who].tobytes()))
+            out.append((marks[p], h[s].tobytes(), counts.tobytes(), key[who].tobytes(), size[who].astype(np.uint32).tobytes(), maps[who].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(zip(*out))], ["bucket", "token", "counts", "key", "size", "bits"])
 
     return run
@@ -219,7 +219,7 @@ def _pair_up(t: float, marks: list[int]):
             counts = np.frombuffer(r["counts"], np.uint32).reshape(2, -1).T.ravel()
             who.append(np.repeat(np.arange(len(counts), dtype=np.int32) // 2 + base, counts))
             early.append(np.repeat(np.arange(len(counts)) % 2 == 0, counts))
-            sizes.append(np.frombuffer(r["size"], np.uint16))
+            sizes.append(np.frombuffer(r["size"], np.uint32))
             maps.append(np.frombuffer(r["bits"], np.uint64).reshape(-1, BITMAP_WORDS))
             base += len(keys[-1])
         token, who, early, keys, sizes, maps = map(np.concatenate, (token, who, early, keys, sizes, maps))
@@ -240,12 +240,12 @@ def _pair_up(t: float, marks: list[int]):
             a, b = live[early[live]], live[early[live]] + shift
             a, b = who[a], who[b]
             na, nb = sizes[a], sizes[b]
-            ok = (a != b) & ((na >= t * nb - 1e-9) | (nb == 65535))
+            ok = (a != b) & (na >= t * nb - 1e-9)
             a, b, na, nb = a[ok], b[ok], na[ok], nb[ok]
             if not len(a):
                 continue
             apart = np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1)
-            ok = (apart <= (1 - t) / (1 + t) * (na + nb) + 1e-9) | (nb == 65535)
+            ok = apart <= (1 - t) / (1 + t) * (na + nb) + 1e-9
             a, b = a[ok].astype(np.int64), b[ok].astype(np.int64)
             seen.append(np.minimum(a, b) << 32 | np.maximum(a, b))
             pending += len(a)

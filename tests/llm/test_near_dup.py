@@ -65,3 +65,10 @@ def test_large_class_of_copies_stays_linear(spark):
 
 def test_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], SCHEMA), 0.5, 3, 15).collect() == []
+
+
+def test_sets_beyond_16_bits(spark):
+    common, few, more = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("c", 50_002), ("x", 20_000), ("y", 30_000)))
+    for bodies in ((f"{common} {few}", f"{common} {more}"), (f"{common} {more}", f"{common} {few}")):
+        df = spark.createDataFrame([(p, None, b) for p, b in zip("ab", bodies)], "post_id string, title string, body string")
+        assert [tuple(r) for r in N.near_duplicates(df, threshold=0.5, shingle=3, least_words=15).collect()] == [("a", "b")]
