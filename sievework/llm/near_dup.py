@@ -1,22 +1,25 @@
 """p1: near-duplicate records, by prefix filtering under several global token orders.
 
-Tokens are runs of three consecutive words; two records match when the Jaccard similarity of their
-token sets reaches a threshold t.  For any total order of all tokens, two matching sets share a
-token among the first |x| - ceil(2t/(1+t)|x|) + 1 of the smaller and the first |y| - ceil(t|y|) + 1
-of the larger set.  This holds for every order, hence a pair has to pass the test under each of
-several orders before its sets are compared.
+Tokens are runs of consecutive words; two records match when the Jaccard similarity of their token
+sets reaches a threshold t, that is, when they have o = ceil(t/(1+t) (|x|+|y|)) tokens in common.
+For any total order of all tokens, let P(x) and P(y) be the first p and q tokens of the sets.  The
+prefix that ends earlier holds all common tokens up to its end, so a match has at least
+o - max(|x|-p, |y|-q) tokens in P(x) and P(y) both.  This holds for every order, hence a pair has to
+pass under each of them before any set is moved or compared.
 
 1. A bounded count sketch over all records ranks tokens by frequency (two rows of counters, summed
    over all rows of the table; its size doesn't depend on the input).
-2. Each text sends the prefix under the first order (rare tokens first) to token buckets, once per
-   distinct text, with a bitmap of its token set.  In a bucket, records with a common token are
-   paired; sizes and the Hamming distance of the bitmaps (a lower bound of the symmetric difference)
-   drop most pairs there.
-3. Candidate pairs visit the group of their first text, which adds its tokens, then that of the
-   second.  There the prefixes under the other orders are intersected, and what is left is verified
-   exactly.
-
-Copies of one text form a class and are processed once; a class's members are linked by ``expand``.
+2. Order 1, rare tokens first, drives an inverted join: each distinct text sends the tokens of its
+   shortest sufficient prefix (one common token) to token buckets, with its set's size and a parity
+   bitmap of each of its prefixes under orders 2 (ascending hash) and 3 (descending hash).  A hot
+   token's list is cut into slices; each pair of slices is a list of its own, in any bucket.
+3. In a bucket, texts with a common token are paired.  Two bitmaps differ in at most as many bits as
+   the prefixes differ in tokens, which bounds the common prefix tokens from above: pairs that cannot
+   reach the number due under order 2, then under order 3, go.
+4. The pairs left visit the group of their first text, which adds its tokens, then that of the
+   second, where the sets are compared exactly.
+
+Copies of one text form a class and are processed once; ``near_duplicates`` links a class's members.
 """
 
 from __future__ import annotations
@@ -29,14 +32,22 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sievework.llm import kernels as K
-from sievework.partitioning import labels, shuffle_width
+from sievework.partitioning import label_of, labels, planned_bytes, shuffle_width, spread
 
 SKETCH_BITS = 18
 SKETCH_ROWS = 2
-BITMAP_WORDS = 8
-#: Members of a class of copies that are paired one by one; the others are tied to the first member.
+#: 64-bit words of a prefix bitmap for sets of up to ``BITMAP_TOKENS`` tokens; both double together.
+BITMAP_WORDS = 5
+BITMAP_TOKENS = 200
+#: Rows of a token's list that are paired in one place; a longer list is cut into slices.
+LIST_ROWS = 4_096
+#: Input bytes for which a token bucket is made.
+BUCKET_BYTES = 32 << 20
+#: Members of a class of copies that are paired one by one; the others are tied to one of them.
 DELEGATES = 32
-_SEEDS = (0x51ED270B, 0x7FEB352D, 0x2545F491, 0x3C6EF372)
+#: Parts in which the members of one class are handled.
+SALTS = 64
+_SEEDS = (0x51ED270B, 0x7FEB352D)
 _SKETCH_BLOCKS = 16
 
 
@@ -87,36 +98,36 @@ def _frequency(sketch: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return np.minimum.reduce([sketch[r][_cells(tokens, r)] for r in range(SKETCH_ROWS)])
 
 
-def order_key(sketch: np.ndarray, tokens: np.ndarray, order: int) -> np.ndarray:
-    """Sort key of a global token order; equal keys go by the token itself.
-
-    0: rare tokens first, ties by hash.  1: by hash alone.  2: by the bit length of the frequency,
-    ties by another hash.  Each depends on the token only, as the prefix argument requires.
-    """
-    h = K.mix(tokens ^ np.uint64(_SEEDS[1 + order]))
-    if order == 1:
-        return h
-    count = np.minimum(_frequency(sketch, tokens), (1 << 32) - 1)
-    major = count.astype(np.uint64) if order == 0 else np.frexp(count.astype(np.float64))[1].astype(np.uint64)
-    return major << np.uint64(32) | h >> np.uint64(32)
-
-
-def ranks(sketch: np.ndarray, tokens: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
-    """Place of every token in its own set under a global order; tokens are sorted within each set."""
+def ranks(count: np.ndarray, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Place of every token in its own set under order 1: rare tokens first, ties by a hash."""
     n = np.diff(at)
     doc = np.repeat(np.arange(len(n)), n)
-    by = _within_texts(doc, np.argsort(order_key(sketch, tokens, order), kind="stable"))
+    h = K.mix(tokens ^ np.uint64(_SEEDS[1]))
+    key = np.minimum(count, (1 << 32) - 1).astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
+    by = _within_texts(doc, np.argsort(key, kind="stable"))
     out = np.empty(len(tokens), np.int64)
     out[by] = np.arange(len(tokens)) - np.repeat(at[:-1], n)
     return out
 
 
 def _prefix_lengths(n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix length of a set as the larger of a pair, and as the smaller (never longer)."""
+    """Prefix that has one token in common with a match, as the larger of a pair and as the smaller (never longer)."""
     ceil = lambda x: np.ceil(np.round(x, 9)).astype(np.int64)
     return n - ceil(t * n) + 1, n - ceil(2 * t / (1 + t) * n) + 1
 
 
+def _long_prefix(n: np.ndarray, t: float) -> np.ndarray:
+    """Prefix under orders 2 and 3: longer than one common token needs, so that many are due in it."""
+    return np.ceil((1 - t / 2) * n).astype(np.int64)
+
+
+def _due(na: np.ndarray, nb: np.ndarray, t: float) -> np.ndarray:
+    """Most tokens by which two long prefixes of a match may differ."""
+    p, q = _long_prefix(na, t), _long_prefix(nb, t)
+    common = np.ceil(np.round(t / (1 + t) * (na + nb), 9)).astype(np.int64) - np.maximum(na - p, nb - q)
+    return p + q - 2 * common
+
+
 def sketch_of(texts: DataFrame, shingle: int, least_words: int) -> np.ndarray:
     """The count sketch over all rows: 2 x 2^18 counters, whatever the input's size."""
     size = 1 << SKETCH_BITS
@@ -142,14 +153,85 @@ def sketch_of(texts: DataFrame, shingle: int, least_words: int) -> np.ndarray:
     return out.reshape(SKETCH_ROWS, size).astype(np.int64)
 
 
-def _bitmaps(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Parity bitmap of each set; two bitmaps differ in at most as many bits as the sets differ in tokens."""
-    bits = 64 * BITMAP_WORDS
-    bit = (K.mix(tokens ^ np.uint64(_SEEDS[0])) >> np.uint64(40)).astype(np.int64) % bits
-    n = len(at) - 1
-    doc = np.repeat(np.arange(n), np.diff(at))
-    odd = (np.bincount(doc * bits + bit, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
-    return np.packbits(odd, axis=1).view(np.uint64)
+def _level(n: np.ndarray) -> np.ndarray:
+    """How often a set's bitmaps are doubled for its size."""
+    return np.ceil(np.log2(np.maximum(n, BITMAP_TOKENS) / BITMAP_TOKENS)).astype(np.int64)
+
+
+def _bitmaps(tokens: np.ndarray, at: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmaps of the prefixes under orders 2 and 3, all sets' words end to end, and the sets' offsets in them.
+
+    Tokens are sorted within a set, so that these orders are their places from either end.
+    """
+    n = np.diff(at)
+    width = BITMAP_WORDS << _level(n)
+    to = np.concatenate([[0], np.cumsum(2 * width)])
+    doc = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(tokens)) - at[:-1][doc]
+    prefix = _long_prefix(n, t)[doc]
+    bit = ((K.mix(tokens ^ np.uint64(_SEEDS[0])) >> np.uint64(24)) % (64 * width[doc]).astype(np.uint64)).astype(np.int64)
+    total = np.zeros(64 * to[-1], np.uint8)
+    for k, inside in enumerate((place < prefix, place >= n[doc] - prefix)):
+        own = doc[inside]
+        np.bitwise_xor.at(total, 64 * (to[own] + k * width[own]) + bit[inside], 1)
+    return np.packbits(total, bitorder="little").view(np.uint64), to
+
+
+class _Maps:
+    """Bitmaps of the texts of a bucket at every level, the longer ones folded down to the shorter."""
+
+    def __init__(self, size: np.ndarray, words: np.ndarray, to: np.ndarray):
+        self.level = _level(size)
+        self.rows: dict[int, np.ndarray] = {}
+        self.place = {}
+        for level in range(int(self.level.max(initial=0)), -1, -1):
+            own = np.flatnonzero(self.level == level)
+            width = BITMAP_WORDS << level
+            found = words[to[own][:, None] + np.arange(2 * width)].reshape(-1, 2, width)
+            longer = self.rows.get(level + 1)
+            who = own
+            if longer is not None:
+                # a place modulo m follows from the place modulo 2 m: the halves of a parity bitmap are added
+                found = np.concatenate([found, longer[:, :, :width] ^ longer[:, :, width:]])
+                who = np.concatenate([own, self.who])
+            self.rows[level], self.who = found, who
+            place = np.zeros(len(size), np.int64)
+            place[who] = np.arange(len(who))
+            self.place[level] = place
+
+    def apart(self, a: np.ndarray, b: np.ndarray, order: int) -> np.ndarray:
+        """Bits in which the prefixes of each pair differ under an order."""
+        level = np.minimum(self.level[a], self.level[b])
+        top = int(level.max(initial=0))
+        if not top:
+            return self._count(a, b, order, 0)
+        out = np.empty(len(a), np.int64)
+        for v in np.unique(level):
+            own = level == v
+            out[own] = self._count(a[own], b[own], order, int(v))
+        return out
+
+    def _count(self, a, b, order, level):
+        rows, place = self.rows[level][:, order], self.place[level]
+        return np.bitwise_count(rows[place[a]] ^ rows[place[b]]).sum(axis=1, dtype=np.int64)
+
+
+def _slices(h: np.ndarray, count: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (by index) and list hashes: a hot token's rows go to one list for each slice that theirs meets."""
+    parts = np.maximum(1, -(-count // LIST_ROWS))
+    row = np.repeat(np.arange(len(h)), parts)
+    first = np.cumsum(parts) - parts
+    other = (np.arange(len(row)) - first[row]).astype(np.uint64)
+    g = parts[row].astype(np.uint64)
+    own = K.mix(key[row].astype(np.uint64)) % g
+    block = np.minimum(own, other) * g + np.maximum(own, other) + np.uint64(1)
+    return row, np.where(g > 1, K.mix(h[row] + block * np.uint64(0x9E3779B97F4A7C15)), h[row])
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, end), one behind the other."""
+    n = end - start
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def _prefix_rows(t: float, shingle: int, least_words: int, shared, marks: list[int]):
@@ -172,25 +254,26 @@ def _prefix_rows(t: float, shingle: int, least_words: int, shared, marks: list[i
             return
         n = np.diff(at)
         doc = np.repeat(np.arange(len(n)), n)
-        rank = ranks(sketch, tokens, at, 0)
+        count = _frequency(sketch, tokens)
+        rank = ranks(count, tokens, at)
         large, small = _prefix_lengths(n, t)
         keep = rank < large[doc]
         early = rank < small[doc]
-        h = K.mix(tokens[keep])
-        doc_o, early = doc[keep], early[keep]
+        row, h = _slices(K.mix(tokens[keep]), count[keep], key[doc[keep]])
+        doc_o, early = doc[keep][row], early[keep][row]
         bucket = (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        maps, size = _bitmaps(tokens, at), n
+        maps, to = _bitmaps(tokens, at, t)
         o = np.lexsort((~early, doc_o, bucket))
-        h, doc_o, early = h[o].astype(np.uint32), doc_o[o], early[o]
-        edge = np.searchsorted(bucket[o], np.arange(parts + 1, dtype=np.uint64))
+        h, doc_o, early, bucket = h[o].astype(np.uint32), doc_o[o], early[o], bucket[o]
+        own, first = np.unique(bucket, return_index=True)
+        edge = np.append(first, len(bucket))
         out = []
-        for p in range(parts):
-            s = slice(edge[p], edge[p + 1])
-            if s.start == s.stop:
-                continue
+        for i, p in enumerate(own.tolist()):
+            s = slice(edge[i], edge[i + 1])
             who, local = np.unique(doc_o[s], return_inverse=True)
             counts = np.stack([np.bincount(local[early[s]], minlength=len(who)), np.bincount(local[~early[s]], minlength=len(who))]).astype(np.uint32)
-            out.append((marks[p], h[s].tobytes(), counts.tobytes(), key[who].tobytes(), size[who].astype(np.uint32).tobytes(), maps[who].tobytes()))
+            words = maps[_ranges(to[who], to[who + 1])]
+            out.append((marks[p], h[s].tobytes(), counts.tobytes(), key[who].tobytes(), n[who].astype(np.uint32).tobytes(), words.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(zip(*out))], ["bucket", "token", "counts", "key", "size", "bits"])
 
     return run
@@ -199,56 +282,75 @@ def _prefix_rows(t: float, shingle: int, least_words: int, shared, marks: list[i
 _PREFIX = "bucket int, token binary, counts binary, key binary, size binary, bits binary"
 
 
+def _meetings(t: float, rows: list[dict], tally: list[int]):
+    """Pairs of places in a bucket's list of keys that pass under every order, in chunks; the keys come first.
+
+    ``tally`` adds up the pairs met under order 1, and those left by order 2 and by order 3.
+    """
+    token, who, early, base, keys, sizes, maps, at = [], [], [], 0, [], [], [], [np.zeros(1, np.int64)]
+    for r in rows:
+        token.append(np.frombuffer(r["token"], np.uint32))
+        keys.append(np.frombuffer(r["key"], np.int64))
+        counts = np.frombuffer(r["counts"], np.uint32).reshape(2, -1).T.ravel()
+        who.append(np.repeat(np.arange(len(counts), dtype=np.int32) // 2 + base, counts))
+        early.append(np.repeat(np.arange(len(counts)) % 2 == 0, counts))
+        sizes.append(np.frombuffer(r["size"], np.uint32).astype(np.int64))
+        maps.append(np.frombuffer(r["bits"], np.uint64))
+        at.append(2 * (BITMAP_WORDS << _level(sizes[-1])))
+        base += len(keys[-1])
+    token, who, early, keys, sizes, maps = map(np.concatenate, (token, who, early, keys, sizes, maps))
+    # one entry for each text, wherever its copies came from
+    keys, first, same = np.unique(keys, return_index=True, return_inverse=True)
+    yield keys
+    sizes, maps, who = sizes[first], _Maps(sizes[first], maps, np.cumsum(np.concatenate(at))[first]), same[who]
+    order = np.lexsort((sizes[who], token))
+    token, who, early = token[order], who[order], early[order]
+    end = np.searchsorted(token, token, side="right")
+    live = np.arange(len(token))
+    shift = 0
+    while len(live):
+        shift += 1
+        live = live[live + shift < end[live]]
+        # the earlier row has the smaller set, and its token has to be in the shorter prefix
+        a, b = live[early[live]], live[early[live]] + shift
+        a, b = who[a], who[b]
+        ok = (a != b) & (sizes[a] >= t * sizes[b] - 1e-9)
+        a, b = a[ok], b[ok]
+        tally[0] += len(a)
+        most = _due(sizes[a], sizes[b], t)
+        for k in (0, 1):
+            ok = maps.apart(a, b, k) <= most
+            a, b, most = a[ok], b[ok], most[ok]
+            tally[1 + k] += len(a)
+        if len(a):
+            yield np.minimum(a, b).astype(np.int64) << 32 | np.maximum(a, b)
+
+
+def _buckets(batches):
+    held: dict[int, list] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            held.setdefault(row["bucket"], []).append(row)
+    for b in list(held):
+        yield held.pop(b)
+
+
 def _pair_up(t: float, marks: list[int]):
     """Packed prefix rows of whole buckets to candidate pairs, grouped by the first text's group."""
     parts = len(marks)
 
     def run(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                held.setdefault(row["bucket"], []).append(row)
-        for b in list(held):
-            yield from bucket(held.pop(b))
+        for rows in _buckets(batches):
+            yield from bucket(rows)
 
     def bucket(rows):
-        token, who, early, base, keys, sizes, maps = [], [], [], 0, [], [], []
-        for r in rows:
-            token.append(np.frombuffer(r["token"], np.uint32))
-            keys.append(np.frombuffer(r["key"], np.int64))
-            counts = np.frombuffer(r["counts"], np.uint32).reshape(2, -1).T.ravel()
-            who.append(np.repeat(np.arange(len(counts), dtype=np.int32) // 2 + base, counts))
-            early.append(np.repeat(np.arange(len(counts)) % 2 == 0, counts))
-            sizes.append(np.frombuffer(r["size"], np.uint32))
-            maps.append(np.frombuffer(r["bits"], np.uint64).reshape(-1, BITMAP_WORDS))
-            base += len(keys[-1])
-        token, who, early, keys, sizes, maps = map(np.concatenate, (token, who, early, keys, sizes, maps))
-        # one entry for each text, wherever its copies came from
-        keys, first, same = np.unique(keys, return_index=True, return_inverse=True)
-        sizes, maps, who = sizes[first].astype(np.int64), maps[first], same[who]
-        order = np.lexsort((sizes[who], token))
-        token, who, early = token[order], who[order], early[order]
-        end = np.searchsorted(token, token, side="right")
+        found = _meetings(t, rows, [0, 0, 0])
+        keys = next(found)
         seen: list[np.ndarray] = []
         pending = 0
-        live = np.arange(len(token))
-        shift = 0
-        while len(live):
-            shift += 1
-            live = live[live + shift < end[live]]
-            # the earlier row has the smaller set, and its token has to be in the shorter prefix
-            a, b = live[early[live]], live[early[live]] + shift
-            a, b = who[a], who[b]
-            na, nb = sizes[a], sizes[b]
-            ok = (a != b) & (na >= t * nb - 1e-9)
-            a, b, na, nb = a[ok], b[ok], na[ok], nb[ok]
-            if not len(a):
-                continue
-            apart = np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1)
-            ok = apart <= (1 - t) / (1 + t) * (na + nb) + 1e-9
-            a, b = a[ok].astype(np.int64), b[ok].astype(np.int64)
-            seen.append(np.minimum(a, b) << 32 | np.maximum(a, b))
-            pending += len(a)
+        for chunk in found:
+            seen.append(chunk)
+            pending += len(chunk)
             if pending > 1 << 21:
                 seen, pending = [np.unique(np.concatenate(seen))], 0
         if not seen:
@@ -258,15 +360,26 @@ def _pair_up(t: float, marks: list[int]):
         group = a % parts
         order = np.lexsort((b, a, group))
         a, b, group = a[order], b[order], group[order]
-        edge = np.searchsorted(group, np.arange(parts + 1))
-        own = [p for p in range(parts) if edge[p] < edge[p + 1]]
+        own, first = np.unique(group, return_index=True)
+        edge = np.append(first, len(group))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([marks[p] for p in own], pa.int32()), *(pa.array([x[edge[p] : edge[p + 1]] for p in own], pa.list_(pa.int64())) for x in (a, b))], ["group", "a", "b"]
+            [pa.array([marks[g] for g in own], pa.int32()), *(pa.array([x[i:j] for i, j in zip(edge, edge[1:])], pa.list_(pa.int64())) for x in (a, b))], ["group", "a", "b"]
         )
 
     return run
 
 
+def _count_meetings(t: float):
+    def run(batches):
+        tally = [0, 0, 0]
+        for rows in _buckets(batches):
+            for _ in _meetings(t, rows, tally):
+                pass
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in tally], ["order_1", "order_2", "order_3"])
+
+    return run
+
+
 def _combine(batches):
     """Drop copies of a text within a batch, before the shuffle."""
     for batch in batches:
@@ -312,21 +425,16 @@ def _attach(shingle: int, least_words: int, marks: list[int]):
     return run
 
 
-def _verify(t: float, shingle: int, least_words: int, shared):
-    """Group of the second text: intersect the prefixes under the other orders, then compare the sets."""
+def _verify(t: float, shingle: int, least_words: int):
+    """Group of the second text: compare the sets."""
 
     def run(texts: pa.Table, rows: pa.Table) -> pa.Table:
         found = []
         if rows.num_rows:
-            sketch = shared.value
             keys, tokens, at = _sets_for(texts, _lists(rows["b"]), shingle, least_words)
             place = {int(k): i for i, k in enumerate(keys)}
-            sets = [np.frombuffer(x, np.uint64) for x in rows["tokens"].to_pylist()]
-            at_x = np.zeros(len(sets) + 1, np.int64)
-            np.cumsum([len(x) for x in sets], out=at_x[1:])
-            orders = [(ranks(sketch, np.concatenate(sets), at_x, k), ranks(sketch, tokens, at, k)) for k in (1, 2)]
-            for r, (a, partners) in enumerate(zip(rows["a"].to_pylist(), rows["b"].to_pylist())):
-                x = sets[r]
+            for a, x, partners in zip(rows["a"].to_pylist(), rows["tokens"].to_pylist(), rows["b"].to_pylist()):
+                x = np.frombuffer(x, np.uint64)
                 for b in partners:
                     i = place.get(b)
                     if i is None or at[i] == at[i + 1]:
@@ -335,14 +443,8 @@ def _verify(t: float, shingle: int, least_words: int, shared):
                         found.append((a, b, 1.0))
                         continue
                     y = tokens[at[i] : at[i + 1]]
-                    where = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    both = np.flatnonzero(y[where] == x)
-                    small = len(x) <= len(y)
-                    reach = [int(_prefix_lengths(np.array([len(v)]), t)[role][0]) for v, role in ((x, int(small)), (y, int(not small)))]
-                    mine, theirs = at_x[r] + both, at[i] + where[both]
-                    if not all(((p[mine] < reach[0]) & (q[theirs] < reach[1])).any() for p, q in orders):
-                        continue
-                    similarity = len(both) / (len(x) + len(y) - len(both))
+                    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+                    similarity = both / (len(x) + len(y) - both)
                     if similarity >= t - 1e-12:
                         found.append((a, b, similarity))
         kinds = (pa.int64(), pa.int64(), pa.float64())
@@ -360,9 +462,9 @@ def members(corpus: DataFrame) -> DataFrame:
     """(key, post_id, rank): the class of equal texts that each post belongs to.
 
     rank numbers the first ``DELEGATES`` members of a class by post_id from 1 and is null for the
-    rest.  Ranks are taken in 64 salted parts first, so no task sorts a whole hot class.
+    rest.  Ranks are taken in salted parts first, so no task sorts a whole hot class.
     """
-    all_ = _keyed(corpus).select("key", "post_id").distinct().withColumn("salt", F.pmod(F.xxhash64("post_id"), F.lit(64)))
+    all_ = _keyed(corpus).select("key", "post_id").distinct().withColumn("salt", F.pmod(F.xxhash64("post_id"), F.lit(SALTS)))
     part = all_.withColumn("r", F.row_number().over(Window.partitionBy("key", "salt").orderBy("post_id")))
     few = part.where(F.col("r") <= DELEGATES)
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("post_id")))
@@ -370,28 +472,46 @@ def members(corpus: DataFrame) -> DataFrame:
     return ranked.select("key", "post_id", F.when(F.col("rank") <= DELEGATES, F.col("rank")).alias("rank")).unionByName(rest)
 
 
+def classes(corpus: DataFrame) -> DataFrame:
+    """(post_id, class_id): the class of equal titles and bodies of every post, by a hash of both; null post_ids are left out."""
+    return _keyed(corpus).select("post_id", F.col("key").alias("class_id")).distinct()
+
+
+def _filtered(keyed: DataFrame, threshold: float, shingle: int, least_words: int) -> DataFrame:
+    """Packed prefix rows of all texts, dealt to token buckets."""
+    spark = keyed.sparkSession
+    shared = spark.sparkContext.broadcast(sketch_of(keyed, shingle, least_words))
+    # a text's bitmaps go to each bucket that it has tokens in, so buckets are few and large
+    marks = labels(max(1, shuffle_width(spark) // 2, (planned_bytes(keyed) or 0) // BUCKET_BYTES))
+    return keyed.select("key", "title", "body").mapInArrow(_prefix_rows(threshold, shingle, least_words, shared, marks), _PREFIX).repartition(len(marks), "bucket")
+
+
+def filtered_pairs(corpus: DataFrame, threshold: float = 0.8, shingle: int = 5, least_words: int = 0) -> DataFrame:
+    """One row (order_1, order_2, order_3): pairs that meet under order 1, and those that each further order leaves.
+
+    A pair counts once for each token that it meets by.
+    """
+    found = _filtered(_keyed(corpus), threshold, shingle, least_words).mapInArrow(_count_meetings(threshold), "order_1 bigint, order_2 bigint, order_3 bigint")
+    return found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in found.columns))
+
+
 def class_pairs(corpus: DataFrame, threshold: float = 0.8, shingle: int = 5, least_words: int = 0, repeated: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b, similarity) of distinct texts, by class key, at or above the threshold.
 
     ``repeated`` may name classes (column ``key``) for which the row (key, key, 1.0) shall be
     returned if their texts are long enough to count.
     """
-    spark = corpus.sparkSession
-    marks = labels(shuffle_width(spark))
-    parts = len(marks)
     keyed = _keyed(corpus)
-    shared = spark.sparkContext.broadcast(sketch_of(keyed, shingle, least_words))
+    marks = labels(spread(corpus))
+    parts = len(marks)
     texts = keyed.select("key", "title", "body")
-    # a text's bitmap goes to each bucket that it has tokens in, so buckets are few and large
-    buckets = labels(max(1, parts // 2))
-    prefixes = texts.mapInArrow(_prefix_rows(threshold, shingle, least_words, shared, buckets), _PREFIX)
-    pairs = prefixes.repartition(len(buckets), "bucket").mapInArrow(_pair_up(threshold, marks), "group int, a array<bigint>, b array<bigint>")
-    group = F.element_at(F.array(*map(F.lit, marks)), (F.pmod("key", F.lit(parts)) + 1).cast("int")).alias("group")
+    pairs = _filtered(keyed, threshold, shingle, least_words).mapInArrow(_pair_up(threshold, marks), "group int, a array<bigint>, b array<bigint>")
+    group = label_of(F.pmod("key", F.lit(parts)), marks).alias("group")
     if repeated is not None:
         pairs = pairs.unionByName(repeated.select(group, F.array("key").alias("a"), F.array("key").alias("b")))
     grouped = texts.mapInArrow(_combine, texts.schema).select(group, "key", "title", "body").repartition(parts, "group").groupBy("group")
-    attached = grouped.cogroup(pairs.groupBy("group")).applyInArrow(_attach(shingle, least_words, marks), "group int, a bigint, tokens binary, b array<bigint>")
-    return grouped.cogroup(attached.groupBy("group")).applyInArrow(_verify(threshold, shingle, least_words, shared), "a bigint, b bigint, similarity double")
+    attached = grouped.cogroup(pairs.repartition(parts, "group").groupBy("group")).applyInArrow(_attach(shingle, least_words, marks), "group int, a bigint, tokens binary, b array<bigint>")
+    return grouped.cogroup(attached.repartition(parts, "group").groupBy("group")).applyInArrow(_verify(threshold, shingle, least_words), "a bigint, b bigint, similarity double")
 
 
 def near_duplicates(corpus: DataFrame, threshold: float = 0.8, shingle: int = 5, least_words: int = 0) -> DataFrame:
@@ -400,14 +520,16 @@ def near_duplicates(corpus: DataFrame, threshold: float = 0.8, shingle: int = 5,
     Null and blank texts have no tokens and match nothing; null post_ids are left out; a post
     delivered twice counts once.  Members of a class of equal texts are paired with one another and
     with those of similar classes for the first ``DELEGATES`` ids; every further copy gets one pair
-    with the class's first id, so a class of n copies gives O(n) rows and no post loses its link.
+    with the last of these, so a class of n copies gives O(n) rows and no post loses its link.
+    ``classes`` and ``class_pairs`` say the rest: which posts are copies, and which texts match.
     """
     who = members(corpus)
     many = who.where(F.col("rank") == 2).select("key")
     verified = class_pairs(corpus, threshold, shingle, least_words, many)
-    # slot 0 pairs ranked members one by one; slot 1 ties the further copies to the first member
-    slots = F.when((F.col("a") == F.col("b")) & (F.col("rank") == 1), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    # slot 0 pairs ranked members one by one; the further copies lie in slots 1 to SALTS, tied to the last ranked member
+    slots = F.when((F.col("a") == F.col("b")) & (F.col("rank") == DELEGATES), F.sequence(F.lit(0), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
     left = who.where(F.col("rank").isNotNull()).select(F.col("key").alias("a"), F.col("post_id").alias("x"), "rank")
-    right = who.select(F.col("key").alias("b"), F.col("post_id").alias("y"), F.col("rank").isNull().cast("int").alias("slot"))
+    slot = F.when(F.col("rank").isNotNull(), 0).otherwise(1 + F.pmod(F.xxhash64("post_id"), F.lit(SALTS))).cast("int")
+    right = who.select(F.col("key").alias("b"), F.col("post_id").alias("y"), slot.alias("slot"))
     pairs = verified.select("a", "b").join(left, "a").select("b", "x", F.explode(slots).alias("slot")).join(right, ["b", "slot"]).where("x <> y")
     return pairs.select(F.least("x", "y").alias("post_a"), F.greatest("x", "y").alias("post_b")).distinct()

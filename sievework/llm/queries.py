@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievework.llm import groups, knn, near_dup, packing, repetition, spans, sql, tokens
 
@@ -19,6 +20,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, d, "corpus"), threshold=0.5, shingle=3, least_words=15)
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class of equal titles and bodies that each post belongs to."""
+    return near_dup.classes(_table(spark, d, "corpus"))
+
+
+def p1_class_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of different texts that match, with their similarity: with ``p1_classes``, every matching pair of posts."""
+    pairs = near_dup.class_pairs(_table(spark, d, "corpus"), threshold=0.5, shingle=3, least_words=15)
+    return pairs.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), "similarity").distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.close_pairs(knn.usable(_table(spark, d, "content_embeddings"), 256), 256, k=5, within=0.12)
 
@@ -61,7 +73,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_nearest, p3_found, p5_found, p5_shares, p6_ids, p7_containers, p7_fill, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_class_pairs, p2_found, p2_nearest, p3_found, p5_found, p5_shares, p6_ids, p7_containers, p7_fill, p8_found, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
