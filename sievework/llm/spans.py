@@ -11,7 +11,7 @@ is repeated at one level is extended to the next.
   Anchors whose extension is repeated in another record survive.
 * Level 3: all full windows around a surviving half are hashed and compared.
 
-Records are spread over groups by id.  A hash is sent once per group, so a span that a third of all
+Records are spread over groups by id, as many as the input's bytes ask for.  A hash is sent once per group, so a span that a third of all
 records share costs as many rows as there are groups, not records.  Hashes have 64 bits.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import kernels as K
-from sievework.partitioning import labels, shuffle_width
+from sievework.partitioning import label_of, labels, spread
 
 
 class _Block:
@@ -95,6 +95,12 @@ def _bucket_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _slices_of(number: np.ndarray):
+    """Each number that occurs in a sorted array, with its slice."""
+    own, first = np.unique(number, return_index=True)
+    yield from zip(own.tolist(), map(slice, first.tolist(), [*first[1:].tolist(), len(number)]))
+
+
 def _group_number(table: pa.Table, marks: dict[int, int]) -> int:
     return marks[table["group"][0].as_py()]
 
@@ -130,12 +136,9 @@ def _send_anchors(length: int, marks: list[int]):
         h, left, right, many = h[start], left[start], right[start], many[:, start]
         bucket = _bucket_of(h, parts)
         rows = []
-        edge = np.searchsorted(bucket, np.arange(parts + 1))
-        for p in range(parts):
-            s = slice(edge[p], edge[p + 1])
-            if s.start < s.stop:
-                halves = np.stack([left[s].astype(np.uint32), right[s].astype(np.uint32)])
-                rows.append((marks[p], 1, origin, h[s].astype(np.uint32).tobytes(), halves.tobytes(), np.packbits(many[:, s]).tobytes()))
+        for p, s in _slices_of(bucket):
+            halves = np.stack([left[s].astype(np.uint32), right[s].astype(np.uint32)])
+            rows.append((marks[p], 1, origin, h[s].astype(np.uint32).tobytes(), halves.tobytes(), np.packbits(many[:, s]).tobytes()))
         return _mail(rows)
 
     return run
@@ -183,10 +186,11 @@ def _repeated_anchors(marks: list[int]):
         for side in (0, 1):
             value = h << np.uint64(32) | halves[side].astype(np.uint64)
             keep = repeated(value, many[1 + side], origin) & (halves[side] != 0)
-            pairs = np.unique(np.stack([origin[keep].astype(np.uint64), value[keep]], 1), axis=0)
-            group = pairs[:, 0].astype(np.int64)
-            for g in np.unique(group):
-                out.append((marks[g], 2 + side, -1, pairs[group == g, 1].tobytes(), b"", b""))
+            group, value = origin[keep], value[keep]
+            order = np.lexsort((value, group))
+            group, value = group[order], value[order]
+            for g, s in _slices_of(group):
+                out.append((marks[g], 2 + side, -1, np.unique(value[s]).tobytes(), b"", b""))
         if out:
             yield from _mail(out).to_batches()
 
@@ -243,11 +247,8 @@ def _send_windows(length: int, marks: list[int]):
             rows.append((marks[origin], 5, origin, places.tobytes(), b"", b""))
         if hashes:
             h, many = _two_records(np.concatenate(hashes), np.concatenate(owners))
-            edge = np.searchsorted(_bucket_of(h, parts), np.arange(parts + 1))
-            for p in range(parts):
-                s = slice(edge[p], edge[p + 1])
-                if s.start < s.stop:
-                    rows.append((marks[p], 4, origin, h[s].tobytes(), np.packbits(many[s]).tobytes(), b""))
+            for p, s in _slices_of(_bucket_of(h, parts)):
+                rows.append((marks[p], 4, origin, h[s].tobytes(), np.packbits(many[s]).tobytes(), b""))
         return _mail(rows)
 
     return run
@@ -326,13 +327,12 @@ def shared_spans(corpus: DataFrame, length: int = 160) -> DataFrame:
     """
     if length < 8 or length % 4:
         raise ValueError("length must be a multiple of 4, at least 8")
-    spark = corpus.sparkSession
-    marks = labels(shuffle_width(spark))
+    marks = labels(spread(corpus))
     parts = len(marks)
     texts = corpus.select(F.col("post_id").cast("string").alias("post_id"), F.col("body").cast("string").alias("body")).where(F.col("post_id").isNotNull() & (F.length("body") >= length))
     texts = texts.withColumn("key", F.xxhash64("post_id"))
     texts = texts.mapInArrow(_once_per_batch, texts.schema)
-    group = F.element_at(F.array(*map(F.lit, marks)), (F.pmod("key", F.lit(parts)) + 1).cast("int")).alias("group")
+    group = label_of(F.pmod("key", F.lit(parts)), marks).alias("group")
     grouped = texts.select(group, "key", "post_id", "body").repartition(parts, "group").groupBy("group")
     anchors = grouped.applyInArrow(_send_anchors(length, marks), _MAIL).repartition(parts, "to")
     survivors = anchors.mapInArrow(_repeated_anchors(marks), _MAIL)
