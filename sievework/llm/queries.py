@@ -72,8 +72,18 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.shares(_table(spark, d, "documents"))
 
 
+def p8_anomalies(spark: SparkSession, d: str) -> DataFrame:
+    """The path of every document over the isolation forest."""
+    return repetition.anomalies(_table(spark, d, "documents"), 0.3)
+
+
+def p8_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall of the forest's paths alone."""
+    return repetition.quality(_table(spark, d, "documents"), 0.3)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p1_class_pairs, p2_found, p2_nearest, p3_found, p5_found, p5_shares, p6_ids, p7_containers, p7_fill, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_class_pairs, p2_found, p2_nearest, p3_found, p5_found, p5_shares, p6_ids, p7_containers, p7_fill, p8_found, p8_shares, p8_anomalies, p8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

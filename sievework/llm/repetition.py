@@ -2,10 +2,12 @@
 
 A word is repeated if it lies in a run of ``RUN`` consecutive words that also begins at an earlier
 word of the same text.  ``shares`` measures that for every document.  ``cases`` finds the documents
-with a large share through an isolation forest: rules give each document a few statistics that need
-no look at long runs, the forest is grown on the documents of a bounded labelled sample that are no
-cases, and a document whose mean path is short enough, by a threshold calibrated on the sample's
-cases, is measured exactly.
+with a large share through an isolation forest over rule statistics that look at a text's bytes
+only: how far it can be compressed, how far below what its length lets expect, and its length.  The
+forest is grown on the ordinary documents of a bounded labelled sample; short mean paths over its
+random splits mark anomalies, by a threshold calibrated on the sample's labelled cases.  Only the
+anomalies are split into words and measured exactly; a text beyond the compressor's window is
+always one.  ``anomalies`` gives every document's path, and ``quality`` what the paths alone are worth.
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ SAMPLE = 6_000
 TREES = 100
 TREE_ROWS = 256
 #: The threshold lies above the longest path of the sample's cases by this share of the distance to the longest path of all.
-MARGIN = 0.25
-_FEATURES = 4
+MARGIN = 0.1
+#: Bytes over which the compressor finds repeats; longer texts are measured in any case.
+WINDOW = 60_000
+_FEATURES = 3
+_CODEC = "lz4_raw"
 
 
 def _first_seen(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -56,16 +61,28 @@ def repeated_words(h: np.ndarray, at: np.ndarray, run: int = RUN) -> np.ndarray:
     return _per_text(np.cumsum(mark[:-1]) > 0, at)
 
 
-def statistics(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rule statistics of every text: the shares of repeated words, pairs and triples of words, and how far the last exceeds half the first."""
-    n = np.maximum(np.diff(at), 1)
-    out = np.zeros((len(at) - 1, _FEATURES))
-    out[:, 0] = 1 - _per_text(_first_seen(h, at), at) / n
-    for column, size in ((1, 2), (2, 3)):
-        runs, to = K.runs_of(h, at, size)
-        out[:, column] = 1 - (_per_text(_first_seen(runs, to), to) + (np.diff(to) == 0)) / np.maximum(np.diff(to), 1)
-    out[:, 3] = np.maximum(out[:, 2] - out[:, 0] * 0.5, 0)
-    return out
+def statistics(texts: list[str]) -> np.ndarray:
+    """Rule statistics of every text: size compressed to size, both in bytes of the lower-cased text, and the logarithm of the size."""
+    codec = pa.Codec(_CODEC)
+    plain = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    size = np.maximum(1, np.fromiter(map(len, plain), np.float64, len(plain)))
+    packed = np.fromiter((len(codec.compress(x, asbytes=True)) if x else 1 for x in plain), np.float64, len(plain))
+    return np.column_stack([packed / size, np.log2(size)])
+
+
+def usual_ratio(rows: np.ndarray) -> np.ndarray:
+    """Median compression of texts by half powers of two of their size, the nearest known one where there is none."""
+    place = np.minimum((2 * rows[:, 1]).astype(np.int64), 63)
+    out = np.full(64, np.nan)
+    for p in np.unique(place):
+        out[p] = np.median(rows[place == p, 0])
+    known = np.flatnonzero(~np.isnan(out))
+    return np.interp(np.arange(64), known, out[known]) if len(known) else np.ones(64)
+
+
+def features(rows: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """What the forest sees: compression, compression against the usual one of the size, size."""
+    return np.column_stack([rows[:, 0], rows[:, 0] / usual[np.minimum((2 * rows[:, 1]).astype(np.int64), 63)], rows[:, 1]])
 
 
 def grow(rows: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,52 +160,119 @@ def shares(documents: DataFrame, run: int = RUN) -> DataFrame:
     return out.withColumn("share", F.when(F.col("words") > 0, F.col("repeated") / F.col("words")).otherwise(0.0))
 
 
-def fit(documents: DataFrame, least: float, run: int = RUN) -> tuple[tuple, float]:
-    """A forest and the longest path that may be a case, from a bounded sample of labelled rows."""
+def _planted(text: str, least: float, run: int) -> str | None:
+    """The text with about the smallest repetition that makes it a case, in its least visible form: short runs of the first half strewn over the second."""
+    words = text.split()
+    half = len(words) // 2
+    times = int(np.ceil(least / (1 - least) * len(words) / run)) + 1
+    if half < run:
+        return None
+    begin = np.linspace(0, half - run, times).astype(int)
+    place = np.linspace(half, len(words), times + 1).astype(int)
+    out = words[:half]
+    for at, a, b in zip(begin, place, place[1:]):
+        out += words[a:b] + words[at : at + run]
+    return " ".join(out)
+
+
+def fit(documents: DataFrame, least: float, run: int = RUN, labelled: DataFrame | None = None) -> tuple[tuple, np.ndarray, float]:
+    """A forest, the usual compression by size, and the longest path that may be a case.
+
+    They come from a bounded sample of labelled rows.  ``labelled`` (doc_id, is_case) names them;
+    without it a sample of the documents is labelled by the rule.  Each of the sample's ordinary texts
+    also gives a planted case with the smallest share that counts, so the threshold never rests on
+    what cases the sample happens to hold.
+    """
     n = documents.count()
     cut = max(1, int((1 << 30) * min(1.0, SAMPLE / max(1, n))))
+    sample = _pair(documents).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < cut)
+    known = F.lit(None).cast("boolean")
+    if labelled is not None:
+        sample = sample.join(labelled.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("is_case").cast("boolean").alias("known")), "doc_id")
+        known = F.col("known")
 
     def label(batches):
         for batch in batches:
             texts = _texts(batch)
             for a, b in K.blocks(texts):
-                h, at = K.words(texts[a:b])
-                case = repeated_words(h, at, run) >= least * np.maximum(np.diff(at), 1) - 1e-9
-                rows = np.column_stack([case, statistics(h, at)])
+                own = texts[a:b]
+                case = np.array([bool(x) for x in batch.column(2).slice(a, b - a).to_pylist()])
+                if labelled is None:
+                    h, at = K.words(own)
+                    case = repeated_words(h, at, run) >= least * np.maximum(np.diff(at), 1) - 1e-9
+                made = [p for t, c in zip(own, case) if not c and (p := _planted(t, least, run))]
+                h, at = K.words(made)
+                made = [p for p, c in zip(made, repeated_words(h, at, run) >= least * np.diff(at)) if c]
+                rows = np.column_stack([np.append(case, np.full(len(made), 2)), np.concatenate([statistics(own), statistics(made)])])
                 yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.float64).tolist(), pa.list_(pa.float64()))], ["row"])
 
-    sample = _pair(documents).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < cut)
-    rows = np.array([r.row for r in sample.mapInArrow(label, "row array<double>").collect()]).reshape(-1, 1 + _FEATURES)
-    case = rows[:, 0] > 0
-    plain = rows[~case, 1:]
-    if not len(plain) or not case.any():
-        # nothing to tell cases from: every document is measured
-        return grow(rows[:, 1:] if len(rows) else np.zeros((1, _FEATURES))), np.inf
+    rows = np.array([r.row for r in sample.select("doc_id", "text", known.alias("known")).mapInArrow(label, "row array<double>").collect()]).reshape(-1, 3)
+    rows = rows[rows[:, 2] <= np.log2(WINDOW)]
+    kind, rows = rows[:, 0], rows[:, 1:]
+    plain, case = rows[kind == 0], rows[kind > 0]
+    if not len(plain):
+        # nothing ordinary to tell cases from: no path is too long
+        return grow(np.zeros((1, _FEATURES))), np.ones(64), np.inf
+    usual = usual_ratio(plain)
+    plain, case = features(plain, usual), features(case, usual)
     forest = grow(plain)
-    length, usual = paths(forest, rows[case, 1:]).max(), paths(forest, plain).max()
-    return forest, float(length + MARGIN * max(0.0, usual - length))
+    longest = paths(forest, plain).max()
+    reach = paths(forest, case).max() if len(case) else longest
+    return forest, usual, float(reach + MARGIN * max(0.0, longest - reach))
+
+
+def _path_lengths(texts: list[str], forest: tuple, usual: np.ndarray) -> np.ndarray:
+    """Mean path of every text; 0 for one beyond the window, as no statistic speaks for it."""
+    rows = statistics(texts)
+    return np.where(rows[:, 1] > np.log2(WINDOW), 0.0, paths(forest, features(rows, usual)))
 
 
-def cases(documents: DataFrame, least: float = 0.3, run: int = RUN) -> DataFrame:
+def cases(documents: DataFrame, least: float = 0.3, run: int = RUN, labelled: DataFrame | None = None) -> DataFrame:
     """(doc_id) of the documents of whose words at least the given share is repeated.
 
     Null, empty and wordless texts are no cases.  The sample bounds what is fitted, not what is
-    searched: every document gets its path, and every document under the threshold is measured.
+    searched: every document gets its path, and every document up to the threshold is measured.
     """
-    forest, threshold = fit(documents, least, run)
-    shared = documents.sparkSession.sparkContext.broadcast(forest)
+    forest, usual, threshold = fit(documents, least, run, labelled)
+    shared = documents.sparkSession.sparkContext.broadcast((forest, usual))
 
     def search(batches):
         for batch in batches:
             texts = _texts(batch)
+            near = np.flatnonzero(_path_lengths(texts, *shared.value) <= threshold)
             hit = np.zeros(len(texts), np.bool_)
-            for a, b in K.blocks(texts):
-                h, at = K.words(texts[a:b])
+            few = [texts[i] for i in near]
+            for a, b in K.blocks(few):
+                h, at = K.words(few[a:b])
                 size = np.diff(at)
-                near = (paths(shared.value, statistics(h, at)) <= threshold) & (size >= run)
-                keep = np.repeat(near, size)
-                own = np.concatenate([[0], np.cumsum(size[near])])
-                hit[a + np.flatnonzero(near)] = repeated_words(h[keep], own, run) >= least * size[near] - 1e-9
+                hit[near[a:b]] = (size >= run) & (repeated_words(h, at, run) >= least * size - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit))], ["doc_id"])
 
     return _pair(documents).mapInArrow(search, "doc_id bigint")
+
+
+def anomalies(documents: DataFrame, least: float = 0.3, run: int = RUN, labelled: DataFrame | None = None) -> DataFrame:
+    """(doc_id, path, anomalous) of every document: its mean path length over the forest, and whether that is a case's.
+
+    Null and empty texts count as texts of no bytes; a text beyond the window has path 0.
+    """
+    forest, usual, threshold = fit(documents, least, run, labelled)
+    shared = documents.sparkSession.sparkContext.broadcast((forest, usual))
+
+    def measure(batches):
+        for batch in batches:
+            path = _path_lengths(_texts(batch), *shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(path), pa.array(path <= threshold)], ["doc_id", "path", "anomalous"])
+
+    return _pair(documents).mapInArrow(measure, "doc_id bigint, path double, anomalous boolean")
+
+
+def quality(documents: DataFrame, least: float = 0.3, run: int = RUN) -> DataFrame:
+    """One row (documents, cases, anomalous, hits, precision, recall): the paths alone against the exact shares of all documents."""
+    exact = shares(documents, run).select("doc_id", ((F.col("words") > 0) & (F.col("share") >= least - 1e-9)).alias("is_case"))
+    both = anomalies(documents, least, run).join(exact, "doc_id")
+    count = lambda c: F.count(F.when(c, 1))
+    hit = F.col("anomalous") & F.col("is_case")
+    one = both.agg(F.count("*").alias("documents"), count(F.col("is_case")).alias("cases"), count(F.col("anomalous")).alias("anomalous"), count(hit).alias("hits"))
+    share = lambda n: F.when(F.col(n) > 0, F.col("hits") / F.col(n)).otherwise(1.0)
+    return one.select("*", share("anomalous").alias("precision"), share("cases").alias("recall"))

@@ -111,6 +111,32 @@ def test_shares_and_cases(spark):
     assert len(found) >= 0.98 * len(want)
 
 
+def test_paths_of_all_documents(spark):
+    df = spark.createDataFrame(documents(seed=3), SCHEMA).repartition(3)
+    truth = {i: share(t) for i, t, *_ in documents(seed=3)}
+    rows = {r.doc_id: r for r in R.anomalies(df, 0.3).collect()}
+    assert set(rows) == set(truth) and rows[1003].path == 0.0
+    found = {r.doc_id for r in R.cases(df, 0.3).collect()}
+    assert found <= {i for i, r in rows.items() if r.anomalous}
+    q = R.quality(spark.createDataFrame([d for d in documents(seed=3) if d[0] < 1000], SCHEMA), 0.3).first()
+    assert q.documents == 400 and q.hits <= q.anomalous and q.recall >= 0.98 and q.precision > 0.5
+
+
+def test_threshold_from_given_labels(spark):
+    df = spark.createDataFrame(documents(seed=4), SCHEMA)
+    labelled = spark.createDataFrame([(i, bool(n and k >= 0.3 * n)) for i, (n, k) in {i: share(t) for i, t, *_ in documents(seed=4)}.items() if i % 2], "doc_id bigint, is_case boolean")
+    want = {i for i, t, *_ in documents(seed=4) if share(t)[1] >= 0.3 * max(1, share(t)[0])}
+    found = {r.doc_id for r in R.cases(df, 0.3, labelled=labelled).collect()}
+    assert found <= want and len(found) >= 0.98 * len(want)
+
+
+def test_planted_texts_are_cases():
+    for n in (16, 40, 333):
+        words, again = share(R._planted(" ".join(f"v{i}" for i in range(n)), 0.3, 8))
+        assert 0.3 <= again / words < 0.6
+    assert R._planted("too few words", 0.3, 8) is None
+
+
 def test_cases_of_small_and_empty_tables(spark):
     assert R.cases(spark.createDataFrame([], SCHEMA), 0.3).collect() == []
     one = [(1, "a b c d e f g h " * 9, "x", 0)]
