@@ -16,8 +16,8 @@ pass under each of them before any set is moved or compared.
 3. In a bucket, texts with a common token are paired.  Two bitmaps differ in at most as many bits as
    the prefixes differ in tokens, which bounds the common prefix tokens from above: pairs that cannot
    reach the number due under order 2, then under order 3, go.
-4. The pairs left visit the group of their first text, which adds its tokens, then that of the
-   second, where the sets are compared exactly.
+4. The pairs left visit the group of their first text, which is added, then that of the second,
+   where the sets are compared exactly.
 
 Copies of one text form a class and are processed once; ``near_duplicates`` links a class's members.
 """
@@ -37,7 +37,7 @@ from sievework.partitioning import label_of, labels, planned_bytes, shuffle_widt
 SKETCH_BITS = 18
 SKETCH_ROWS = 2
 #: 64-bit words of a prefix bitmap for sets of up to ``BITMAP_TOKENS`` tokens; both double together.
-BITMAP_WORDS = 5
+BITMAP_WORDS = 6
 BITMAP_TOKENS = 200
 #: Rows of a token's list that are paired in one place; a longer list is cut into slices.
 LIST_ROWS = 4_096
@@ -48,6 +48,7 @@ DELEGATES = 32
 #: Parts in which the members of one class are handled.
 SALTS = 64
 _SEEDS = (0x51ED270B, 0x7FEB352D)
+_BIT = (np.uint64(1), np.uint64(0x9E3779B97F4A7C15))
 _SKETCH_BLOCKS = 16
 
 
@@ -118,7 +119,7 @@ def _prefix_lengths(n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
 
 def _long_prefix(n: np.ndarray, t: float) -> np.ndarray:
     """Prefix under orders 2 and 3: longer than one common token needs, so that many are due in it."""
-    return np.ceil((1 - t / 2) * n).astype(np.int64)
+    return np.ceil((1 - 0.3 * t) * n).astype(np.int64)
 
 
 def _due(na: np.ndarray, nb: np.ndarray, t: float) -> np.ndarray:
@@ -138,11 +139,13 @@ def sketch_of(texts: DataFrame, shingle: int, least_words: int) -> np.ndarray:
             tokens, _ = token_sets(*_text_rows(batch["title"], batch["body"]), shingle, least_words)
             for r in range(SKETCH_ROWS):
                 total[r] += np.bincount(_cells(tokens, r), minlength=size)
-        flat = total.astype(np.uint32).reshape(_SKETCH_BLOCKS, -1)
+        # counters as narrow as a block's largest allows
+        flat = [x.astype(np.min_scalar_type(x.max())) for x in total.reshape(_SKETCH_BLOCKS, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(_SKETCH_BLOCKS), pa.int32()), pa.array([x.tobytes() for x in flat], pa.binary())], ["block", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum((np.frombuffer(x, np.uint32).astype(np.uint64) for x in table["counts"].to_pylist()), np.zeros(SKETCH_ROWS * size // _SKETCH_BLOCKS, np.uint64))
+        one = SKETCH_ROWS * size // _SKETCH_BLOCKS
+        total = sum((np.frombuffer(x, f"u{len(x) // one}").astype(np.uint64) for x in table["counts"].to_pylist()), np.zeros(one, np.uint64))
         return pa.table({"block": table["block"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     schema = "block int, counts binary"
@@ -169,11 +172,13 @@ def _bitmaps(tokens: np.ndarray, at: np.ndarray, t: float) -> tuple[np.ndarray,
     doc = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(tokens)) - at[:-1][doc]
     prefix = _long_prefix(n, t)[doc]
-    bit = ((K.mix(tokens ^ np.uint64(_SEEDS[0])) >> np.uint64(24)) % (64 * width[doc]).astype(np.uint64)).astype(np.int64)
+    h = K.mix(tokens ^ np.uint64(_SEEDS[0]))
+    bits = (64 * width[doc]).astype(np.uint64)
     total = np.zeros(64 * to[-1], np.uint8)
     for k, inside in enumerate((place < prefix, place >= n[doc] - prefix)):
-        own = doc[inside]
-        np.bitwise_xor.at(total, 64 * (to[own] + k * width[own]) + bit[inside], 1)
+        # each order has bits of its own, so that what one misses by chance the other drops
+        own, bit = doc[inside], ((h[inside] * _BIT[k] >> np.uint64(24)) % bits[inside]).astype(np.int64)
+        np.bitwise_xor.at(total, 64 * (to[own] + k * width[own]) + bit, 1)
     return np.packbits(total, bitorder="little").view(np.uint64), to
 
 
@@ -234,6 +239,11 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+def _low3(h: np.ndarray) -> bytes:
+    """Three bytes of each hash: enough inside a bucket, where two tokens that look alike cost a comparison and no result."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+
+
 def _prefix_rows(t: float, shingle: int, least_words: int, shared, marks: list[int]):
     """Batches of texts to rows (bucket, and packed arrays of the prefix tokens and of the texts they come from)."""
     parts = len(marks)
@@ -273,7 +283,7 @@ def _prefix_rows(t: float, shingle: int, least_words: int, shared, marks: list[i
             who, local = np.unique(doc_o[s], return_inverse=True)
             counts = np.stack([np.bincount(local[early[s]], minlength=len(who)), np.bincount(local[~early[s]], minlength=len(who))]).astype(np.uint32)
             words = maps[_ranges(to[who], to[who + 1])]
-            out.append((marks[p], h[s].tobytes(), counts.tobytes(), key[who].tobytes(), n[who].astype(np.uint32).tobytes(), words.tobytes()))
+            out.append((marks[p], _low3(h[s]), counts.tobytes(), key[who].tobytes(), n[who].astype(np.uint32).tobytes(), words.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(zip(*out))], ["bucket", "token", "counts", "key", "size", "bits"])
 
     return run
@@ -289,7 +299,7 @@ def _meetings(t: float, rows: list[dict], tally: list[int]):
     """
     token, who, early, base, keys, sizes, maps, at = [], [], [], 0, [], [], [], [np.zeros(1, np.int64)]
     for r in rows:
-        token.append(np.frombuffer(r["token"], np.uint32))
+        token.append(np.frombuffer(r["token"], np.uint8).reshape(-1, 3) @ np.array([1, 1 << 8, 1 << 16], np.uint32))
         keys.append(np.frombuffer(r["key"], np.int64))
         counts = np.frombuffer(r["counts"], np.uint32).reshape(2, -1).T.ravel()
         who.append(np.repeat(np.arange(len(counts), dtype=np.int32) // 2 + base, counts))
@@ -391,36 +401,33 @@ def _lists(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([x.flatten().to_numpy() for x in column.chunks] or [np.zeros(0, np.int64)])
 
 
-def _sets_for(texts: pa.Table, wanted: np.ndarray, shingle: int, least_words: int):
-    """Token sets of the wanted texts of one group: keys that are there, tokens, offsets."""
-    keys, first = np.unique(texts["key"].to_numpy(), return_index=True)
-    here = np.isin(keys, wanted)
-    rows = texts.take(pa.array(first[here]))
-    tokens, at = token_sets(*_text_rows(rows["title"], rows["body"]), shingle, least_words)
-    return keys[here], tokens, at
+def _wanted(texts: pa.Table, keys: np.ndarray) -> pa.Table:
+    """The texts of one group that are wanted, each once, sorted by key."""
+    own, first = np.unique(texts["key"].to_numpy(), return_index=True)
+    return texts.take(pa.array(first[np.isin(own, keys)]))
 
 
-def _attach(shingle: int, least_words: int, marks: list[int]):
-    """Group of the first text: send its token set on to the groups of its partners."""
+def _attach(marks: list[int]):
+    """Group of the first text: send it on to the groups of its partners.
+
+    Words compress, hashes don't: a text is half as long as its token set.
+    """
     parts = len(marks)
 
     def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
-        out = []
-        a, b = _lists(pairs["a"]), _lists(pairs["b"])
-        if len(a):
-            both = np.unique(np.stack([a, b], 1), axis=0)
-            a, b = both[:, 0], both[:, 1]
-            keys, tokens, at = _sets_for(texts, a, shingle, least_words)
-            edge = np.searchsorted(a, keys), np.searchsorted(a, keys, side="right")
-            for i, key in enumerate(keys):
-                if at[i] == at[i + 1]:
-                    continue
-                partners = b[edge[0][i] : edge[1][i]]
-                group = partners % parts
+        names, row, target, partners = ["group", "a", "title", "body", "b"], [], [], []
+        rows = _wanted(texts, _lists(pairs["a"]))
+        if rows.num_rows:
+            both = np.unique(np.stack([_lists(pairs["a"]), _lists(pairs["b"])], 1), axis=0)
+            keys = rows["key"].to_numpy()
+            edge = np.searchsorted(both[:, 0], keys), np.searchsorted(both[:, 0], keys, side="right")
+            for i in range(len(keys)):
+                own = both[edge[0][i] : edge[1][i], 1]
+                group = own % parts
                 for g in np.unique(group):
-                    out.append((marks[g], int(key), tokens[at[i] : at[i + 1]].tobytes(), partners[group == g]))
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-        return pa.table([pa.array(list(x), k) for x, k in zip(list(zip(*out)) or [()] * 4, kinds)], ["group", "a", "tokens", "b"])
+                    row.append(i), target.append(marks[g]), partners.append(own[group == g])
+        sent = rows.take(pa.array(row, pa.int64()))
+        return pa.table([pa.array(target, pa.int32()), sent["key"], sent["title"], sent["body"], pa.array(partners, pa.list_(pa.int64()))], names)
 
     return run
 
@@ -431,13 +438,15 @@ def _verify(t: float, shingle: int, least_words: int):
     def run(texts: pa.Table, rows: pa.Table) -> pa.Table:
         found = []
         if rows.num_rows:
-            keys, tokens, at = _sets_for(texts, _lists(rows["b"]), shingle, least_words)
-            place = {int(k): i for i, k in enumerate(keys)}
-            for a, x, partners in zip(rows["a"].to_pylist(), rows["tokens"].to_pylist(), rows["b"].to_pylist()):
-                x = np.frombuffer(x, np.uint64)
+            own = _wanted(texts, _lists(rows["b"]))
+            tokens, at = token_sets(*_text_rows(own["title"], own["body"]), shingle, least_words)
+            sent, to = token_sets(*_text_rows(rows["title"], rows["body"]), shingle, least_words)
+            place = {k: i for i, k in enumerate(own["key"].to_pylist())}
+            for r, (a, partners) in enumerate(zip(rows["a"].to_pylist(), rows["b"].to_pylist())):
+                x = sent[to[r] : to[r + 1]]
                 for b in partners:
                     i = place.get(b)
-                    if i is None or at[i] == at[i + 1]:
+                    if i is None or at[i] == at[i + 1] or not len(x):
                         continue
                     if a == b:
                         found.append((a, b, 1.0))
@@ -510,7 +519,7 @@ def class_pairs(corpus: DataFrame, threshold: float = 0.8, shingle: int = 5, lea
     if repeated is not None:
         pairs = pairs.unionByName(repeated.select(group, F.array("key").alias("a"), F.array("key").alias("b")))
     grouped = texts.mapInArrow(_combine, texts.schema).select(group, "key", "title", "body").repartition(parts, "group").groupBy("group")
-    attached = grouped.cogroup(pairs.repartition(parts, "group").groupBy("group")).applyInArrow(_attach(shingle, least_words, marks), "group int, a bigint, tokens binary, b array<bigint>")
+    attached = grouped.cogroup(pairs.repartition(parts, "group").groupBy("group")).applyInArrow(_attach(marks), "group int, a bigint, title string, body string, b array<bigint>")
     return grouped.cogroup(attached.repartition(parts, "group").groupBy("group")).applyInArrow(_verify(threshold, shingle, least_words), "a bigint, b bigint, similarity double")
 
 
