@@ -130,11 +130,12 @@ def _send_anchors(length: int, marks: list[int]):
         # what two records of this group hold is known here: at each of the levels
         wide = lambda v: h << np.uint64(32) | v & np.uint64(0xFFFFFFFF)
         many = np.stack([_grouped_test(v, key) for v in (h, wide(left), wide(right))])
-        order = np.lexsort((right, left, h))
-        h, left, right, many = h[order], left[order], right[order], many[:, order]
+        # anchors are smallest hashes: only mixed again do they spread over the buckets
+        bucket = _bucket_of(K.mix(h), parts)
+        order = np.lexsort((right, left, h, bucket))
+        h, left, right, many, bucket = h[order], left[order], right[order], many[:, order], bucket[order]
         start = np.append(True, (h[1:] != h[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])) if len(h) else np.zeros(0, np.bool_)
-        h, left, right, many = h[start], left[start], right[start], many[:, start]
-        bucket = _bucket_of(h, parts)
+        h, left, right, many, bucket = h[start], left[start], right[start], many[:, start], bucket[start]
         rows = []
         for p, s in _slices_of(bucket):
             halves = np.stack([left[s].astype(np.uint32), right[s].astype(np.uint32)])
