@@ -36,8 +36,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """The 5 nearest other posts of every post, however far, with their cosine distance."""
-    return knn.neighbours(knn.usable(_table(spark, d, "content_embeddings"), 256), 256, k=5)
+    """The 5 nearest other posts, however far, of every post whose number is divisible by 50, with their cosine distance."""
+    rows = knn.usable(_table(spark, d, "content_embeddings"), 256)
+    asked = rows.where(F.regexp_extract("post_id", r"(\d+)$", 1).cast("bigint") % 50 == 0)
+    return knn.search(asked, rows, 256, k=5)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
