@@ -15,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.operators.components import named_groups, star_labels
+from sievework.operators.components import FEW_EDGES, labels_of, named_groups, star_labels
 from sievework.operators.hot_keys import folded
-from sievework.partitioning import checkpointed, shuffle_width
+from sievework.partitioning import checkpointed, release, shuffle_width
 
 #: Rounds of stripping and compressing go on while they remove at least this share of the edges.
 WORTHWHILE = 0.1
@@ -54,11 +54,11 @@ def _strip(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checkpointed(rest), gone.select("x", parent.alias("parent"))
 
 
-def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Edges with every chain of degree-two vertices replaced by one, and (x, parent) of the vertices removed."""
     two = checkpointed(_degrees(edges).where("n = 2 AND a <> b").select("x", "a", "b"))
     if two.isEmpty():
-        return edges, two.select("x", F.col("a").alias("parent"))
+        return edges, None
     # a step (x, y) walks from the chain vertex x to its neighbour y; the walk ends behind the chain
     steps = two.select(F.explode(F.array(F.struct("x", F.col("a").alias("y")), F.struct("x", F.col("b").alias("y")))).alias("s")).select("s.x", "s.y")
     inner = two.select(F.col("x").alias("y"), "a", "b")
@@ -76,7 +76,8 @@ def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         before = (state.open, state.low)
         ahead = walk.select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("end").alias("q_end"), F.col("low").alias("q_low"), F.col("rank").alias("q_rank"))
         moving = walk.where("px IS NOT NULL").join(ahead.hint("merge"), ["px", "py"]).select("x", "y", F.col("qx").alias("px"), F.col("qy").alias("py"), F.col("q_end").alias("end"), F.least("low", "q_low").alias("low"), (F.col("rank") + F.col("q_rank")).alias("rank"))
-        walk = checkpointed(_together(walk.where("px IS NULL"), moving))
+        last, walk = walk, checkpointed(_together(walk.where("px IS NULL"), moving))
+        release(last)
     # what is still walking goes round a cycle: its smallest vertex stands for it
     ends = walk.groupBy("x").agg(F.min("end").alias("a"), F.max("end").alias("b"), F.min("low").alias("low"))
     ends = checkpointed(ends.where("a IS NOT NULL OR x <> low").select("x", "a", "b", F.coalesce("a", "low").alias("parent")))
@@ -85,10 +86,12 @@ def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checkpointed(rest), ends.select("x", "parent")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """(x, label) of every vertex of the edges (u, v: bigint): equal labels mean linked, directly or not.
 
-    Null ends, loops, and repeated or reversed edges are allowed and say nothing new; a vertex with
+    Rounds of stripping and compressing go on while they pay and the core has more than ``few``
+    edges; one is made in any case.  The core is solved in one task if it has no more edges than
+    ``FEW_EDGES``, else by contraction.  Null ends, loops, and repeated or reversed edges are allowed and say nothing new; a vertex with
     nothing but loops has no row, nor has an empty edge list any.
     """
     edges = checkpointed(edges.where("u <> v").select(*_pair("u", "v")).distinct())
@@ -99,13 +102,13 @@ def components(edges: DataFrame) -> DataFrame:
             break
         edges, leaves = _strip(edges)
         edges, inner = _compress(edges)
-        removed += [leaves, inner]
+        removed += [leaves, *([inner] if inner is not None else [])]
         now = edges.count()
-        if now > (1 - WORTHWHILE) * left:
-            left = now
-            break
+        done = now > (1 - WORTHWHILE) * left or now <= few
         left = now
-    labels = star_labels(edges) if left else edges.select(F.col("u").alias("x"), F.col("v").alias("label"))
+        if done:
+            break
+    labels = (labels_of if few else star_labels)(edges) if left else edges.select(F.col("u").alias("x"), F.col("v").alias("label"))
     for step in reversed(removed):
         # a parent that no label reached is the last vertex of its component: it labels itself
         known = labels.withColumnRenamed("x", "parent")
