@@ -44,6 +44,13 @@ def phrases_in(sentence: Column, phrases: tuple[str, ...]) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def phrase_counts(text: Column, phrases: tuple[str, ...]) -> Column:
+    """Array of (phrase, hits) of the phrases that begin anywhere in the text."""
+    low = F.lower(text)
+    found = [F.when(low.contains(p.split()[0]), F.struct(F.lit(p).alias("phrase"), F.regexp_count(low, F.lit("(?U)" + phrase_regex(p))).alias("hits"))) for p in phrases]
+    return F.filter(F.array(*found), lambda x: x["hits"] > 0)
+
+
 def negated(sentence: str, start: int) -> bool:
     """Whether a phrase that starts there is cancelled by a word before it."""
     before = _WORD.findall(sentence[:start].lower())
@@ -67,3 +74,15 @@ def affirmed_of(sentence: Column | str, phrases: Column | str) -> Column:
 def word_count(text: Column | str) -> Column:
     """Runs of Unicode letters and digits; null counts as empty."""
     return F.size(F.regexp_extract_all(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(r"([\p{L}\p{N}]+)"), 1))
+
+
+def duration(seconds: Column | str) -> Column:
+    """A span of whole seconds in its largest unit and the next smaller one, where that isn't 0; null stays null."""
+    c = F.col(seconds) if isinstance(seconds, str) else seconds
+    units = ((86_400, "d"), (3600, "h"), (60, "min"), (1, "s"))
+    out = F.concat(c.cast("string"), F.lit(" s"))
+    for (big, name), (small, below) in zip(units[-2::-1], units[:0:-1]):
+        rest = F.floor(c % big / small)
+        both = F.concat(F.floor(c / big).cast("string"), F.lit(f" {name}"), F.when(rest > 0, F.concat(F.lit(" "), rest.cast("string"), F.lit(f" {below}"))).otherwise(""))
+        out = F.when(c >= big, both).otherwise(out)
+    return out

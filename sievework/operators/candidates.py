@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievework.functions.rules import OTHER
 from sievework.functions.vectors import cross_group_nearest
 from sievework.operators.classify import agreed
 from sievework.operators.components import named_groups
@@ -92,6 +93,22 @@ def candidates(posts: DataFrame, post_domains: DataFrame, contacts: DataFrame, h
     return named.select("candidate_id", "group_account", "first_seen", "accounts", "posts", F.coalesce("pieces", F.lit(0)).alias("pieces"), F.coalesce("corroborated", F.lit(0)).alias("corroborated"), "closest_seconds", "similar", "closest_distance", "majority", F.col("held").alias("retained"))
 
 
+def quorum(records: DataFrame) -> DataFrame:
+    """(candidate_id, temporal, similar, agreed, retained): corroborations of candidate records, and whether ``QUORUM`` of them hold.
+
+    A missing part corroborates nothing.  Classes agree if two posts or more are placed and one class
+    has more than half of them.
+    """
+    votes = F.filter("cohesion.category.tally", lambda x: x["name"] != OTHER)
+    total = F.aggregate(votes, F.lit(0).cast("bigint"), lambda a, x: a + x["count"])
+    most = F.array_max(F.transform(votes, lambda x: x["count"]))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    s = F.col("content_similarity")
+    parts = {"temporal": sure(F.col("timing.corroborated") > 0), "similar": sure((s["pieces"] > 0) & (s["corroborated"] == s["pieces"])), "agreed": sure((total >= 2) & (2 * most > total))}
+    held = records.select("candidate_id", *(c.alias(n) for n, c in parts.items()))
+    return held.withColumn("retained", sum((F.col(n).cast("int") for n in parts), F.lit(0)) >= QUORUM)
+
+
 def filter_effect(unfiltered: DataFrame, filtered: DataFrame) -> DataFrame:
     """(before, after, changed): groups without and with the filter, and how many of the former aren't groups of the latter.
 

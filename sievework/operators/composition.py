@@ -8,21 +8,38 @@ from pyspark.sql import functions as F
 from sievework.functions import rules
 
 
+def per_mille(counts: DataFrame, value: str) -> DataFrame:
+    """The rows with their share of the total in thousandths, in integers rounded half up; 0 if the total is 0."""
+    total = counts.agg(F.coalesce(F.sum(value), F.lit(0)).alias("_of"))
+    share = F.when(F.col("_of") > 0, F.floor((1000 * F.col(value) + F.floor(F.col("_of") / 2)) / F.col("_of"))).otherwise(0)
+    return counts.crossJoin(F.broadcast(total)).withColumn("per_mille", share.cast("bigint")).drop("_of")
+
+
+def placed_rates(taxonomy: DataFrame, rates: DataFrame, key: str = "scam_category") -> DataFrame:
+    """Every row of the taxonomy with the rates of its key, null where there are none; a rate for an unknown key is refused."""
+    unknown = rates.join(taxonomy, key, "left_anti").select(key).limit(1).collect()
+    if unknown:
+        raise ValueError(f"no such category: {unknown[0][0]!r}")
+    return taxonomy.join(rates, key, "left")
+
+
+def uncovered(placed: DataFrame, rates: DataFrame) -> DataFrame:
+    """(category): classes of the posts that no external category is projected to."""
+    own = placed.select(F.col("scam_category").alias("category")).where("category IS NOT NULL").distinct()
+    return own.join(rates.select("category"), "category", "left_anti")
+
+
 def shares(placed: DataFrame) -> DataFrame:
     """(category, posts, per_mille) of all classes, in integers rounded half up; without posts all are 0."""
-    spark = placed.sparkSession
     n = placed.groupBy(F.col("scam_category").alias("category")).agg(F.count("*").alias("posts"))
-    every = spark.createDataFrame([(c,) for c in rules.CLASSES], "category string").join(n, "category", "left").withColumn("posts", F.coalesce("posts", F.lit(0)))
-    total = n.agg(F.coalesce(F.sum("posts"), F.lit(0)).alias("of"))
-    per_mille = F.when(F.col("of") > 0, F.floor((1000 * F.col("posts") + F.floor(F.col("of") / 2)) / F.col("of"))).otherwise(0)
-    return every.crossJoin(F.broadcast(total)).select("category", "posts", per_mille.cast("bigint").alias("per_mille"))
+    every = placed.sparkSession.createDataFrame([(c,) for c in rules.CLASSES], "category string").join(n, "category", "left")
+    return per_mille(every.select("category", F.coalesce("posts", F.lit(0)).alias("posts")), "posts")
 
 
 def base_rates(spark) -> DataFrame:
     """(category, reports, per_mille) of the classes by the published extract."""
     known = rules.taxonomy(spark).where("scam_category IS NOT NULL").groupBy(F.col("scam_category").alias("category")).agg(F.coalesce(F.sum("reports"), F.lit(0)).alias("reports"))
-    total = known.agg(F.sum("reports").alias("of"))
-    return known.crossJoin(F.broadcast(total)).select("category", "reports", F.floor((1000 * F.col("reports") + F.floor(F.col("of") / 2)) / F.col("of")).cast("bigint").alias("per_mille"))
+    return per_mille(known, "reports")
 
 
 def compared(placed: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.operators.ranges import running
+from sievework.operators.ranges import numbered, running
 
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
@@ -74,3 +74,13 @@ def false_groupings(proposed: DataFrame, truth: DataFrame, proposed_id: str, tru
     """(proposed_id, false_grouping): whether a group touches two true groups or anyone outside them."""
     joined = proposed.join(truth.select(member, truth_id), member, "left")
     return joined.groupBy(proposed_id).agg(((F.countDistinct(truth_id) > 1) | F.max(F.col(truth_id).isNull())).alias("false_grouping"))
+
+
+def class_statistics(rows: DataFrame, label: str, score: str) -> DataFrame:
+    """(label, rows, mean, median, zeros) of every class; null scores don't count in the means, null labels are a class."""
+    return rows.groupBy(label).agg(F.count("*").alias("rows"), F.avg(score).alias("mean"), F.median(score).alias("median"), F.sum((F.col(score) == 0).cast("bigint")).alias("zeros"))
+
+
+def external(rows: DataFrame, order: str) -> DataFrame:
+    """The rows of an external set with running ids ext_0001, ext_0002, ... in a total order."""
+    return numbered(rows, [F.asc(order)], "_n").withColumn("external_id", F.format_string("ext_%04d", "_n")).drop("_n")

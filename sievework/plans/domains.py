@@ -61,30 +61,42 @@ def join05(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalikes(links(spark, d))
 
 
-@query("url05_registrable", "SELECT host, domain FROM (VALUES ('example.com','example.com'),('a.example.co.uk','example.co.uk'),('foo.ck',NULL),('a.foo.ck','a.foo.ck'),('www.ck','www.ck'),('city.kawasaki.jp','city.kawasaki.jp'),('a.b.nothing.unlisted','nothing.unlisted'),('example',NULL),('github.io',NULL),('a.b.attacker.github.io','attacker.github.io')) t(host, domain)")
+#: Every distinct link with what it is stored to resolve to.
+STORED_LINKS = f"SELECT DISTINCT x.link AS link, x.scheme AS scheme, x.host AS host, {FOLD.format('x.domain')} AS domain, x.unresolved AS unresolved FROM (SELECT unnest(links) AS x FROM post_domains) WHERE x.link IS NOT NULL"
+
+
+def _link_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "post_domains").select("post_id", F.explode("links").alias("x")).select("post_id", "x.link").where("link IS NOT NULL")
+
+
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    one = _link_rows(spark, d).select("link").distinct()
+    return one.select(urls.link_udf(Rules.parse(SMALL_RULES))("link").alias("x")).select("x.*")
+
+
+@query("url05_registrable", "SELECT DISTINCT x.host AS host, " + FOLD.format("x.domain") + " AS domain FROM (SELECT unnest(links) AS x FROM post_domains) WHERE x.host IS NOT NULL")
 def url05(spark: SparkSession, d: str) -> DataFrame:
-    hosts = "example.com a.example.co.uk foo.ck a.foo.ck www.ck city.kawasaki.jp a.b.nothing.unlisted example github.io a.b.attacker.github.io".split()
-    rows = spark.createDataFrame([(h,) for h in hosts], "host string")
-    return rows.select("host", registrable("host", Rules.parse(SMALL_RULES)).alias("domain"))
+    """The native expression over every host of the links; the oracle reads the domains stored with them."""
+    hosts = table(spark, d, "post_domains").select(F.explode("links").alias("x")).select("x.host").where("host IS NOT NULL").distinct()
+    return hosts.select("host", registrable("host", Rules.parse(SMALL_RULES)).alias("domain"))
 
 
-@query("url01_resolved_links")
+@query("url01_resolved_links", f"SELECT link, domain, unresolved FROM ({STORED_LINKS})")
 def url01(spark: SparkSession, d: str) -> DataFrame:
-    """Links of all posts, resolved; rows only, since SQL has no parser of the same kind."""
-    found = urls.resolve_links(posts(spark, d), Rules.parse(SMALL_RULES))
-    return found.select("post_id", F.posexplode("links").alias("pos", "x")).select("post_id", "pos", "x.link", "x.scheme", "x.host", "x.domain", "x.unresolved")
+    """Every link resolved anew; the oracle reads what is stored beside it."""
+    return _resolved(spark, d).select("link", "domain", "unresolved")
 
 
-@query("url02_unresolved_reasons", "SELECT coalesce(x.unresolved, 'resolved') AS reason, count(*) AS links FROM (SELECT unnest(links) AS x FROM (SELECT DISTINCT post_id, links FROM post_domains)) GROUP BY 1")
+@query("url02_unresolved_reasons", f"SELECT coalesce(unresolved, 'resolved') AS reason, count(*) AS links FROM ({STORED_LINKS}) GROUP BY 1")
 def url02(spark: SparkSession, d: str) -> DataFrame:
-    once = table(spark, d, "post_domains").dropDuplicates(["post_id"])
-    return once.select(F.explode("links").alias("x")).groupBy(F.coalesce("x.unresolved", F.lit("resolved")).alias("reason")).agg(F.count("*").alias("links"))
+    return _resolved(spark, d).groupBy(F.coalesce("unresolved", F.lit("resolved")).alias("reason")).agg(F.count("*").alias("links"))
 
 
-@query("url06_link_hosts", "SELECT x.host AS host, count(*) AS links, count(DISTINCT post_id) AS posts FROM (SELECT post_id, unnest(links) AS x FROM (SELECT DISTINCT post_id, links FROM post_domains)) WHERE x.host IS NOT NULL GROUP BY 1")
+@query("url06_link_hosts", "SELECT x.scheme AS scheme, x.host AS host, count(*) AS links, count(DISTINCT post_id) AS posts FROM (SELECT post_id, unnest(links) AS x FROM post_domains) WHERE x.unresolved IS NULL AND x.link IS NOT NULL GROUP BY ALL")
 def url06(spark: SparkSession, d: str) -> DataFrame:
-    once = table(spark, d, "post_domains").dropDuplicates(["post_id"]).select("post_id", F.explode("links").alias("x"))
-    return once.where("x.host IS NOT NULL").groupBy(F.col("x.host").alias("host")).agg(F.count("*").alias("links"), F.countDistinct("post_id").alias("posts"))
+    """Hosts of the resolved links, parsed anew."""
+    named = _link_rows(spark, d).join(_resolved(spark, d).where("unresolved IS NULL").select("link", "scheme", "host"), "link")
+    return named.groupBy("scheme", "host").agg(F.count("*").alias("links"), F.countDistinct("post_id").alias("posts"))
 
 
 @query("url07_label_suffix", f"{WITH} SELECT DISTINCT domain, split_part(domain, '.', 1) AS label, CASE WHEN strpos(domain, '.') > 0 THEN substr(domain, strpos(domain, '.') + 1) ELSE '' END AS suffix FROM links")
@@ -102,7 +114,7 @@ def src07(spark: SparkSession, d: str) -> DataFrame:
     return survey(rule_rows(spark, SMALL_RULES))
 
 
-@query("src08_rules_digest", "SELECT sha256(string_agg(r, chr(10) ORDER BY r)) AS digest FROM (VALUES ('com'),('net'),('org'),('co.uk'),('*.ck'),('!www.ck'),('*.jp'),('!city.kawasaki.jp'),('github.io')) t(r)")
+@query("src08_rules_digest", "SELECT sha256(concat_ws(chr(10), 'co.uk', 'com', 'github.io', 'net', 'org', '*.ck', '*.jp', '!city.kawasaki.jp', '!www.ck')) AS digest")
 def src08(spark: SparkSession, d: str) -> DataFrame:
     lines = spark.createDataFrame([(i, t) for i, t in enumerate(reversed(SMALL_RULES.splitlines())) if "===" not in t], "line long, text string")
     return digest(classify_rules(lines))
@@ -219,8 +231,11 @@ def mth03(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(131).select(F.col("id").alias("points"), score.normalised(F.col("id")).alias("score"))
 
 
-@query("rul07_taxonomy_projection", "SELECT scam_category, categories, reports FROM (VALUES {}) t(scam_category, categories, reports)".format(",".join("({},{},{})".format("NULL" if c is None else f"'{c}'", sum(x[1] == c for x in rules.TAXONOMY), sum(x[2] or 0 for x in rules.TAXONOMY if x[1] == c)) for c in sorted({x[1] for x in rules.TAXONOMY}, key=str))))
+@query("rul07_taxonomy_projection", """SELECT * FROM (VALUES (NULL, 3, 10415), ('Bills, Invoicing and Collections', 6, 3897), ('Extortion', 1, 32779), ('Identity and Account Takeover', 4, 108701),
+    ('Impersonating an Institution', 3, 42189), ('Investment and Money Offers', 5, 26130), ('Merchandise and Goods', 3, 42018), ('Other', 1, 10675), ('Phishing', 4, 36771),
+    ('Prizes, Appeals and Psychics', 5, 5769), ('Relationships and Second Contacts', 3, 16818), ('Work and Payroll', 2, 14199)) t(scam_category, categories, reports)""")
 def rul07(spark: SparkSession, d: str) -> DataFrame:
+    """The oracle holds the published totals of each class."""
     return rules.taxonomy(spark).groupBy("scam_category").agg(F.count("*").alias("categories"), F.sum("reports").alias("reports"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import candidates as C
 from sievework.operators import classify, evaluate, graph, store
+from sievework.operators.ranges import numbered
 from sievework.plans.domains import PLACED, POSTS, WITH, posts
 from sievework.plans.posts import MATCHES
 from sievework.plans.registry import query, table
@@ -176,9 +177,9 @@ def _once(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("candidate_id", F.size("accounts").alias("accounts"), F.size("posts").alias("posts"), "cohesion.retained")
 
 
-@query("top02_candidate_order", f"WITH {_ONCE} SELECT row_number() OVER (ORDER BY retained DESC, accounts DESC, posts DESC, candidate_id) AS rank, candidate_id FROM c ORDER BY rank LIMIT 100")
+@query("top02_candidate_order", f"WITH {_ONCE} SELECT row_number() OVER (ORDER BY retained DESC, accounts DESC, posts DESC, candidate_id) AS rank, candidate_id FROM c")
 def top02(spark: SparkSession, d: str) -> DataFrame:
-    return store.top(_once(spark, d), [F.desc("retained"), F.desc("accounts"), F.desc("posts"), F.asc("candidate_id")], 100).select("rank", "candidate_id")
+    return numbered(_once(spark, d), [F.desc("retained"), F.desc("accounts"), F.desc("posts"), F.asc("candidate_id")], "rank").select("rank", "candidate_id")
 
 
 @query("agg19_precision", f"WITH {_ONCE}, r AS (SELECT retained, row_number() OVER (ORDER BY accounts DESC, posts DESC, candidate_id) AS rank FROM c) SELECT depth, CAST(sum((retained AND rank <= depth)::INT) AS BIGINT) AS hits, CAST(sum((rank <= depth)::INT) AS BIGINT) AS of FROM r, (VALUES (5), (10), (20), (50)) k(depth) GROUP BY depth")
@@ -187,12 +188,12 @@ def agg19(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.precision_at(ranked, "retained", (5, 10, 20, 50))
 
 
-@query("agg11_quorum", "SELECT DISTINCT candidate_id, coalesce(timing.corroborated > 0, false)::INT + coalesce(content_similarity.pieces > 0 AND content_similarity.corroborated = content_similarity.pieces, false)::INT AS held, len(cohesion.corroborating) AS published FROM campaign_candidates")
+@query("agg11_quorum", """WITH c AS (SELECT DISTINCT candidate_id, coalesce(timing.corroborated > 0, false) AS t, coalesce(content_similarity.pieces > 0 AND content_similarity.corroborated = content_similarity.pieces, false) AS s,
+    coalesce(list_aggregate(list_transform(list_filter(cohesion.category.tally, lambda x: x.name <> 'Other'), lambda x: x.count), 'sum') >= 2 AND 2 * list_aggregate(list_transform(list_filter(cohesion.category.tally, lambda x: x.name <> 'Other'), lambda x: x.count), 'max') > list_aggregate(list_transform(list_filter(cohesion.category.tally, lambda x: x.name <> 'Other'), lambda x: x.count), 'sum'), false) AS k FROM campaign_candidates)
+    SELECT candidate_id, t AS temporal, s AS similar, k AS agreed, t::INT + s::INT + k::INT >= 2 AS retained FROM c""")
 def agg11(spark: SparkSession, d: str) -> DataFrame:
-    time = F.coalesce(F.col("timing.corroborated") > 0, F.lit(False)).cast("int")
-    s = F.col("content_similarity")
-    like = F.coalesce((s["pieces"] > 0) & (s["corroborated"] == s["pieces"]), F.lit(False)).cast("int")
-    return table(spark, d, "campaign_candidates").select("candidate_id", (time + like).alias("held"), F.size("cohesion.corroborating").alias("published")).distinct()
+    """The quorum applied to the stored records: what corroborates each candidate, and whether that keeps it."""
+    return C.quorum(table(spark, d, "campaign_candidates")).distinct()
 
 
 @query("agg20_host_census", "SELECT kind, count(*) AS rows, count(DISTINCT host) AS hosts FROM shared_hosts GROUP BY kind")
@@ -220,7 +221,7 @@ def set03(spark: SparkSession, d: str) -> DataFrame:
     from sievework.plans.domains import links, listed
 
     all_ = links(spark, d).where("account IS NOT NULL")
-    return all_.select("account").exceptAll(all_.select("account").limit(0)).distinct().subtract(all_.join(listed(spark, d), "domain", "left_anti").select("account"))
+    return all_.select("account").subtract(all_.join(listed(spark, d), "domain", "left_anti").select("account"))
 
 
 @query("set04_all_accounts", f"WITH p AS ({POSTS}) SELECT account FROM p WHERE account IS NOT NULL UNION SELECT account FROM post_contacts WHERE account IS NOT NULL UNION SELECT account FROM post_domains WHERE account IS NOT NULL")

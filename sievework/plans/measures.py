@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.functions import rules
+from sievework.functions import rules, text
 from sievework.operators import candidates as C
-from sievework.operators import evaluate, model, store
-from sievework.plans.domains import POSTS, posts
+from sievework.operators import classify, composition, evaluate, model, store
+from sievework.plans.domains import PLACED, POSTS, WITH, posts
+from sievework.plans.groups import MOMENTS
 from sievework.plans.registry import query, table
+from sievework.sources import extract
 
 _P = "(l_discount * 100 + 1) / 12"
 _ROWS = f"r AS (SELECT {_P} AS p, (l_linestatus = 'O')::INT AS y FROM lineitem)"
@@ -36,9 +38,10 @@ def agg23(spark: SparkSession, d: str) -> DataFrame:
     return bins.select("bin", "rows", *(F.round(c, 6).alias(c) for c in ("predicted", "observed", "gap")))
 
 
-@query("agg24_class_statistics", "SELECT l_returnflag, count(*) AS rows, round(avg(l_quantity), 6) AS mean, median(l_quantity) AS median, CAST(sum((l_discount = 0)::INT) AS BIGINT) AS zeros FROM lineitem GROUP BY 1")
+@query("agg24_class_statistics", f"WITH p AS ({POSTS}), w AS (SELECT subreddit, len(regexp_extract_all(coalesce(body, ''), '[\\p{{L}}\\p{{N}}]+')) AS n FROM p) SELECT subreddit, count(*) AS rows, round(avg(n), 6) AS mean, median(n) AS median, CAST(sum((n = 0)::INT) AS BIGINT) AS zeros FROM w GROUP BY 1")
 def agg24(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("rows"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.median("l_quantity").alias("median"), F.sum((F.col("l_discount") == 0).cast("bigint")).alias("zeros"))
+    rows = posts(spark, d).select("subreddit", text.word_count("body").alias("n"))
+    return evaluate.class_statistics(rows, "subreddit", "n").withColumn("mean", F.round("mean", 6))
 
 
 @query("agg25_standardised", "SELECT l_returnflag, round(avg(l_quantity), 6) AS mean_l_quantity, round(CASE WHEN stddev_pop(l_quantity) > 0 THEN stddev_pop(l_quantity) ELSE 1 END, 6) AS scale_l_quantity FROM lineitem GROUP BY 1")
@@ -47,11 +50,9 @@ def agg25(spark: SparkSession, d: str) -> DataFrame:
     return s.select("l_returnflag", F.round("mean_l_quantity", 6).alias("mean_l_quantity"), F.round("scale_l_quantity", 6).alias("scale_l_quantity"))
 
 
-@query("agg15_base_rates", "SELECT coalesce(lang, '?') AS category, count(*) AS reports, round(count(*) / sum(count(*)) OVER (), 6) AS base_rate FROM documents GROUP BY 1")
+@query("agg15_base_rates", "SELECT source AS category, count(*) AS reports, round(count(*) / sum(count(*)) OVER (), 6) AS base_rate FROM documents WHERE trim(source) <> '' GROUP BY 1")
 def agg15(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "documents").groupBy(F.coalesce("lang", F.lit("?")).alias("category")).agg(F.count("*").alias("reports"))
-    total = n.agg(F.sum("reports").alias("of"))
-    return n.crossJoin(F.broadcast(total)).select("category", "reports", F.round(F.col("reports") / F.col("of"), 6).alias("base_rate"))
+    return extract.base_rates(table(spark, d, "documents").select(F.col("source").alias("category")))
 
 
 @query("mth01_sigmoid", "SELECT range AS x, round(1 / (1 + exp(-CAST(range AS DOUBLE))), 9) AS y FROM range(-40, 41)")
@@ -59,42 +60,58 @@ def mth01(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(-40, 41).select(F.col("id").alias("x"), F.round(model.sigmoid(F.col("id").cast("double")), 9).alias("y"))
 
 
-@query("rul08_weights", "SELECT * FROM (VALUES {}) t(signal, weight)".format(", ".join(f"('{k}', {v})" for k, v in rules.WEIGHTS.items())))
+@query("rul08_weights", "SELECT * FROM (VALUES ('category_conflict', 20), ('domain_frequency', 30), ('domain_lookalike', 20), ('guaranteed_return', 25), ('payment_request', 20), ('urgency_language', 15)) t(signal, weight)")
 def rul08(spark: SparkSession, d: str) -> DataFrame:
     return rules.weights(spark)
 
 
-@query("dat02_delays", f"WITH p AS (SELECT DISTINCT post_id, created_at, received_at FROM corpus WHERE regexp_matches(created_at, '^\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\dZ$')) SELECT post_id, CAST((epoch_us(received_at) - epoch_us(CAST(created_at AS TIMESTAMPTZ))) // 1000000 AS BIGINT) AS seconds FROM p")
+@query("dat02_delays", f"WITH posts AS ({POSTS}), {MOMENTS}, r AS (SELECT post_id, min(received_at) AS received_at FROM corpus GROUP BY post_id) SELECT post_id, CAST((epoch_us(received_at) - moment) // 1000000 AS BIGINT) AS seconds FROM moments JOIN r USING (post_id) WHERE moment IS NOT NULL")
 def dat02(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "corpus").where(F.col("created_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$")).select("post_id", "created_at", "received_at").distinct()
+    """Seconds from every stamp that can be read, in whatever spelling, to the first delivery."""
+    first = table(spark, d, "corpus").groupBy("post_id").agg(F.min("received_at").alias("received_at"))
+    rows = posts(spark, d).select("post_id", C.moment("created_at").alias("moment")).where("moment IS NOT NULL").join(first, "post_id")
     received = F.unix_micros(F.col("received_at").cast("timestamp"))
-    return rows.select("post_id", F.floor((received - C.moment("created_at")) / 1_000_000).cast("bigint").alias("seconds"))
+    return rows.select("post_id", F.floor((received - F.col("moment")) / 1_000_000).cast("bigint").alias("seconds"))
 
 
-@query("str14_durations", "SELECT l_orderkey, l_linenumber, printf('%dd %02dh', CAST(l_quantity AS BIGINT) // 24, CAST(l_quantity AS BIGINT) % 24) AS gap FROM lineitem")
+@query("str14_durations", """WITH s AS (SELECT DISTINCT c.closest_seconds AS seconds FROM (SELECT unnest(corroboration) AS c FROM campaign_candidates) UNION SELECT DISTINCT c.span_seconds FROM (SELECT unnest(corroboration) AS c FROM campaign_candidates))
+    SELECT seconds, trim(CASE WHEN seconds IS NULL THEN NULL WHEN seconds >= 86400 THEN concat(seconds // 86400, ' d', CASE WHEN seconds % 86400 >= 3600 THEN concat(' ', seconds % 86400 // 3600, ' h') ELSE '' END)
+    WHEN seconds >= 3600 THEN concat(seconds // 3600, ' h', CASE WHEN seconds % 3600 >= 60 THEN concat(' ', seconds % 3600 // 60, ' min') ELSE '' END)
+    WHEN seconds >= 60 THEN concat(seconds // 60, ' min', CASE WHEN seconds % 60 > 0 THEN concat(' ', seconds % 60, ' s') ELSE '' END) ELSE concat(seconds, ' s') END) AS gap FROM s""")
 def str14(spark: SparkSession, d: str) -> DataFrame:
-    hours = F.col("l_quantity").cast("bigint")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.format_string("%dd %02dh", F.floor(hours / 24).cast("bigint"), hours % 24).alias("gap"))
+    c = table(spark, d, "campaign_candidates").select(F.explode("corroboration").alias("c")).select(F.explode(F.array("c.closest_seconds", "c.span_seconds")).alias("seconds")).distinct()
+    return c.select("seconds", text.duration("seconds").alias("gap"))
 
 
-@query("join02_dimension", "SELECT n_name, r_name, count(c_custkey) AS customers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+@query("join02_dimension", f"{WITH}, {PLACED}, n AS (SELECT scam_category, count(*) AS posts FROM placed GROUP BY 1), c(scam_category, categories) AS (VALUES ('Bills, Invoicing and Collections', 6), ('Extortion', 1), ('Identity and Account Takeover', 4), ('Impersonating an Institution', 3), ('Investment and Money Offers', 5), ('Merchandise and Goods', 3), ('Other', 1), ('Phishing', 4), ('Prizes, Appeals and Psychics', 5), ('Relationships and Second Contacts', 3), ('Work and Payroll', 2), (NULL, 3)) SELECT c.scam_category, categories, posts FROM c LEFT JOIN n USING (scam_category)")
 def join02(spark: SparkSession, d: str) -> DataFrame:
-    n, r, c = (table(spark, d, t) for t in ("nation", "region", "customer"))
-    counts = c.groupBy("c_nationkey").agg(F.count("*").alias("customers"))
-    return n.join(r, n.n_regionkey == r.r_regionkey).join(counts, n.n_nationkey == counts.c_nationkey, "left").select("n_name", "r_name", F.coalesce("customers", F.lit(0)).alias("customers"))
+    """Every external category, placed or dropped, with the posts of its class: a small dimension, broadcast as such."""
+    n = classify.placements(posts(spark, d)).groupBy("scam_category").agg(F.count("*").alias("posts"))
+    return composition.placed_rates(rules.taxonomy(spark), n).groupBy("scam_category").agg(F.count("*").alias("categories"), F.max("posts").alias("posts"))
 
 
-@query("join03_lookup", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("join03_lookup", f"{WITH}, {PLACED}, n AS (SELECT DISTINCT candidate_id, unnest(posts) AS post_id FROM campaign_candidates) SELECT candidate_id, post_id, account, scam_category FROM n JOIN placed USING (post_id)")
 def join03(spark: SparkSession, d: str) -> DataFrame:
-    o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_name")
+    """Author and class of every post that a candidate names."""
+    named = table(spark, d, "campaign_candidates").select("candidate_id", F.explode("posts").alias("post_id")).distinct()
+    return named.join(classify.placements(posts(spark, d)).select("post_id", "account", "scam_category"), "post_id").select("candidate_id", "post_id", "account", "scam_category")
 
 
-@query("join13_semi_anti", "SELECT 'with' AS side, count(*) AS customers FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'without', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("join13_semi_anti", f"WITH p AS ({POSTS}), e AS (SELECT post_id FROM content_embeddings WHERE embedding IS NOT NULL), k AS (SELECT unnest(posts) AS post_id FROM campaign_candidates) SELECT side, count(*) AS posts FROM (SELECT 'with vector' AS side, post_id FROM p SEMI JOIN e USING (post_id) UNION ALL SELECT 'without vector', post_id FROM p ANTI JOIN e USING (post_id) UNION ALL SELECT 'named', post_id FROM p SEMI JOIN k USING (post_id) UNION ALL SELECT 'not named', post_id FROM p ANTI JOIN k USING (post_id)) GROUP BY side")
 def join13(spark: SparkSession, d: str) -> DataFrame:
-    c, o = table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    side = lambda how, name: c.join(o, "c_custkey", how).agg(F.count("*").alias("customers")).select(F.lit(name).alias("side"), "customers")
-    return side("left_semi", "with").unionByName(side("left_anti", "without"))
+    p = posts(spark, d).select("post_id")
+    e = table(spark, d, "content_embeddings").where("embedding IS NOT NULL")
+    k = table(spark, d, "campaign_candidates").select(F.explode("posts").alias("post_id"))
+    sides = [store.kept(p, e, "post_id"), store.missing(p, e, "post_id"), store.kept(p, k, "post_id"), store.missing(p, k, "post_id")]
+    counted = [df.agg(F.count("*").alias("posts")).select(F.lit(name).alias("side"), "posts") for df, name in zip(sides, ("with vector", "without vector", "named", "not named"))]
+    return counted[0].union(counted[1]).union(counted[2]).union(counted[3])
+
+
+@query("join12_external_labels", "WITH d AS (SELECT printf('ext_%04d', row_number() OVER (ORDER BY doc_id)) AS external_id, doc_id, lang FROM documents) SELECT external_id, doc_id, coalesce(lang = 'en', false) AS label FROM d")
+def join12e(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of an external set under running ids, paired with their labels again by them."""
+    rows = table(spark, d, "documents").select("doc_id", F.coalesce(F.col("lang") == "en", F.lit(False)).alias("label"))
+    return evaluate.external(rows, "doc_id").select("external_id", "doc_id", "label")
 
 
 @query("join12_document_posts", f"WITH p AS ({POSTS}) SELECT doc_id, account FROM documents d JOIN p USING (post_id)")
@@ -109,9 +126,7 @@ def win04(spark: SparkSession, d: str) -> DataFrame:
 
 @query("win07_share_of_total", f"WITH p AS ({POSTS}), n AS (SELECT subreddit, count(*) AS posts FROM p GROUP BY 1) SELECT subreddit, posts, CAST((1000 * posts + sum(posts) OVER () // 2) // sum(posts) OVER () AS BIGINT) AS per_mille FROM n")
 def win07(spark: SparkSession, d: str) -> DataFrame:
-    n = posts(spark, d).groupBy("subreddit").agg(F.count("*").alias("posts"))
-    of = F.sum("posts").over(Window.partitionBy())
-    return n.select("subreddit", "posts", F.floor((1000 * F.col("posts") + F.floor(of / 2)) / of).cast("bigint").alias("per_mille"))
+    return composition.per_mille(posts(spark, d).groupBy("subreddit").agg(F.count("*").alias("posts")), "posts")
 
 
 _TRUTH = "truth AS (SELECT account, min(candidate_id) AS campaign FROM (SELECT candidate_id, unnest(accounts) AS account FROM campaign_candidates WHERE cohesion.retained) WHERE account IS NOT NULL GROUP BY account), place AS (SELECT account, dense_rank() OVER (ORDER BY campaign) - 1 AS place FROM truth)"

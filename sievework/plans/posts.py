@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.functions import contacts, text, vectors
+from sievework.functions import contacts, rules, text, vectors
 from sievework.operators import store
 from sievework.operators.hot_keys import folded
+from sievework.operators.ranges import numbered
 from sievework.plans.domains import FOLD, LISTED, POSTS, listed, posts
 from sievework.plans.registry import query, table
 from sievework.sources import contracts
@@ -94,10 +95,11 @@ def flt02(spark: SparkSession, d: str) -> DataFrame:
     return m.join(listed(spark, d), "domain", "left_anti").select("kind", "value").distinct()
 
 
-@query("flt07_unknown_posts", f"WITH p AS ({POSTS}) SELECT DISTINCT candidate_id, post AS post_id FROM (SELECT candidate_id, unnest(posts) AS post FROM campaign_candidates) WHERE post NOT IN (SELECT post_id FROM p)")
+@query("flt07_unknown_posts", f"WITH p AS ({POSTS}), n AS (SELECT DISTINCT candidate_id, list_filter(accounts, lambda x: x IS NOT NULL) AS accounts, unnest(posts) AS post_id FROM campaign_candidates) SELECT DISTINCT candidate_id, n.post_id, CASE WHEN p.post_id IS NULL THEN 'unknown' ELSE 'another author' END AS fault FROM n LEFT JOIN p USING (post_id) WHERE p.post_id IS NULL OR p.account IS NULL OR NOT list_contains(accounts, p.account)")
 def flt07(spark: SparkSession, d: str) -> DataFrame:
-    named = table(spark, d, "campaign_candidates").select("candidate_id", F.explode("posts").alias("post_id")).distinct()
-    return store.missing(named, posts(spark, d), "post_id")
+    """Posts that candidates name but that don't exist or were written by nobody of theirs."""
+    named = table(spark, d, "campaign_candidates").select("candidate_id", F.array_compact("accounts").alias("accounts"), F.explode("posts").alias("post_id"))
+    return contracts.foreign_posts(named, posts(spark, d))
 
 
 @query("join01_post_records", f"WITH p AS ({POSTS}) SELECT p.post_id, coalesce(len(l.domains), 0) AS domains, coalesce(len(c.contact_points), 0) AS contact_points FROM p JOIN (SELECT DISTINCT post_id, domains FROM post_domains) l USING (post_id) JOIN (SELECT DISTINCT post_id, contact_points FROM post_contacts) c USING (post_id)")
@@ -130,15 +132,18 @@ def agg28(spark: SparkSession, d: str) -> DataFrame:
     return facts.crossJoin(F.broadcast(unread))
 
 
-@query("agg30_distinct_words", f"WITH p AS ({POSTS}) SELECT subreddit, count(DISTINCT account) AS accounts FROM p GROUP BY subreddit")
+@query("agg30_distinct_words", f"WITH p AS ({POSTS}) SELECT subreddit, count(DISTINCT w) AS words FROM (SELECT subreddit, unnest(regexp_extract_all(lower(coalesce(body, '')), '[\\p{{L}}\\p{{N}}]+')) AS w FROM p) GROUP BY subreddit")
 def agg30(spark: SparkSession, d: str) -> DataFrame:
-    return posts(spark, d).groupBy("subreddit").agg(F.countDistinct("account").alias("accounts"))
+    """Distinct words of every subreddit; distinct pairs come first, so that a hot subreddit is no task of its own."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("body", F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    pairs = posts(spark, d).select("subreddit", F.explode(F.array_distinct(words)).alias("w")).distinct()
+    return pairs.groupBy("subreddit").agg(F.count("*").alias("words"))
 
 
-@query("top04_contacts_by_reach", f"WITH m AS ({MATCHES}), r AS (SELECT kind, value, count(DISTINCT account) AS accounts FROM m GROUP BY ALL) SELECT row_number() OVER (ORDER BY accounts DESC, kind, value) AS rank, kind, value, accounts FROM r ORDER BY rank LIMIT 50")
+@query("top04_contacts_by_reach", f"WITH m AS ({MATCHES}), r AS (SELECT kind, value, count(DISTINCT account) AS accounts FROM m GROUP BY ALL) SELECT row_number() OVER (ORDER BY accounts DESC, kind, value) AS rank, kind, value, accounts FROM r")
 def top04(spark: SparkSession, d: str) -> DataFrame:
     r = matches(spark, d).groupBy("kind", "value").agg(F.countDistinct("account").alias("accounts"))
-    return store.top(r, [F.desc("accounts"), F.asc("kind"), F.asc("value")], 50)
+    return numbered(r, [F.desc("accounts"), F.asc("kind"), F.asc("value")], "rank")
 
 
 @query("str05_word_counts", f"WITH p AS ({POSTS}) SELECT post_id, len(regexp_extract_all(coalesce(title, ''), '[\\p{{L}}\\p{{N}}]+')) AS title_words, len(regexp_extract_all(coalesce(body, ''), '[\\p{{L}}\\p{{N}}]+')) AS body_words FROM p")
@@ -151,10 +156,19 @@ def str01(spark: SparkSession, d: str) -> DataFrame:
     return posts(spark, d).select("post_id", F.size(text.sentences("body")).alias("sentences"))
 
 
-@query("str02_phrase_hits", f"WITH p AS ({POSTS}) SELECT post_id, len(regexp_extract_all(lower(coalesce(body, '')), '(^|[^0-9a-z])per\\s+hour')) > 0 AS per_hour, regexp_matches(lower(coalesce(body, '')), '(^|[^0-9a-z])shifts($|[^0-9a-z])') AS shifts FROM p")
+def _spaced(phrase: str) -> str:
+    return "\\s+".join(w.replace("'", "''") for w in phrase.split())
+
+
+_ALL_PHRASES = ", ".join(f"('{p.replace(chr(39), chr(39) * 2)}', '(^|[^0-9a-z]){_spaced(p)}($|[^0-9a-z])')" for ps in rules.CATEGORY_PHRASES.values() for p in ps)
+
+
+@query("str02_phrase_hits", f"WITH p AS ({POSTS}), f(phrase, pattern) AS (VALUES {_ALL_PHRASES}), b AS (SELECT post_id, regexp_replace(lower(coalesce(body, '')), '([^0-9a-z])', '\\1\\1', 'g') AS t FROM p) SELECT post_id, phrase, len(regexp_extract_all(t, pattern)) AS hits FROM b, f WHERE regexp_matches(t, pattern)")
 def str02(spark: SparkSession, d: str) -> DataFrame:
-    body = F.lower(F.coalesce("body", F.lit("")))
-    return posts(spark, d).select("post_id", body.rlike("(?U)" + r"(?<![0-9a-z])per\s+hour").alias("per_hour"), body.rlike("(?U)" + text.phrase_regex("shifts")).alias("shifts"))
+    """Every phrase of every class in every body, with the number of places it begins at."""
+    phrases = tuple(sorted({p for ps in rules.CATEGORY_PHRASES.values() for p in ps}))
+    found = text.phrase_counts(F.coalesce("body", F.lit("")), phrases)
+    return posts(spark, d).select("post_id", F.explode(found).alias("x")).select("post_id", "x.phrase", F.col("x.hits").cast("bigint").alias("hits"))
 
 
 @query("str07_contact_points")
@@ -173,16 +187,17 @@ def str09(spark: SparkSession, d: str) -> DataFrame:
     return matches(spark, d).where("kind = 'telegram'").select("found_as", F.lower(F.translate("found_as", "0134578", "oieastb")).alias("folded")).distinct()
 
 
-@query("str12_text_digests", f"WITH p AS ({POSTS}) SELECT post_id, sha256(concat_ws(chr(10), title, body, array_to_string(links, chr(10)))) AS digest FROM p WHERE links IS NOT NULL AND len(links) > 0 AND len(list_filter(links, lambda x: x IS NULL)) = 0")
+_EMBEDDED = "array_to_string(list_filter([title, body] || coalesce(links, []), lambda x: x IS NOT NULL), chr(10))"
+
+
+@query("str12_text_digests", f"WITH p AS ({POSTS}) SELECT post_id, sha256({_EMBEDDED}) AS digest FROM p")
 def str12(spark: SparkSession, d: str) -> DataFrame:
-    p = posts(spark, d).where((F.size("links") > 0) & ~F.exists("links", lambda x: x.isNull()))
-    return p.select("post_id", F.sha2(vectors.embedded_text(), 256).alias("digest"))
+    return posts(spark, d).select("post_id", F.sha2(vectors.embedded_text(), 256).alias("digest"))
 
 
-@query("str13_embedded_text", f"WITH p AS ({POSTS}) SELECT post_id, length(concat_ws(chr(10), title, body)) AS chars FROM p WHERE links IS NULL OR len(links) = 0")
+@query("str13_embedded_text", f"WITH p AS ({POSTS}) SELECT post_id, {_EMBEDDED} AS text FROM p")
 def str13(spark: SparkSession, d: str) -> DataFrame:
-    p = posts(spark, d).where(F.col("links").isNull() | (F.size("links") == 0))
-    return p.select("post_id", F.length(vectors.embedded_text()).alias("chars"))
+    return posts(spark, d).select("post_id", vectors.embedded_text().alias("text"))
 
 
 @query("vec01_embeddings")

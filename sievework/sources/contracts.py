@@ -81,6 +81,14 @@ def refuse_repeated(rows: DataFrame, key: str) -> None:
         raise ValueError(f"{key} {first[0]!r} occurs {first[1]} times")
 
 
+def foreign_posts(named: DataFrame, posts: DataFrame) -> DataFrame:
+    """(candidate_id, post_id, fault): posts named by a record (candidate_id, accounts, post_id) that are unknown or by another author."""
+    known = posts.select("post_id", F.col("account").alias("author"), F.lit(True).alias("known"))
+    rows = named.join(known, "post_id", "left")
+    fault = F.when(F.col("known").isNull(), "unknown").when(~F.coalesce(F.array_contains("accounts", F.col("author")), F.lit(False)), "another author")
+    return rows.select("candidate_id", "post_id", fault.alias("fault")).where("fault IS NOT NULL").distinct()
+
+
 def candidate_faults(candidates: DataFrame) -> DataFrame:
     """One row that counts the records that break a rule of theirs."""
     n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).alias

@@ -115,9 +115,14 @@ def survey(rules: DataFrame) -> DataFrame:
 
 
 def digest(rules: DataFrame) -> DataFrame:
-    """(digest): sha256 over the sorted rules of each kind, whatever their order in the list."""
-    written = F.concat(F.when(F.col("kind") == "wildcard", "*.").when(F.col("kind") == "exception", "!").otherwise(""), "rule")
-    return rules.groupBy().agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_set(written))), 256).alias("digest"))
+    """(digest): sha256 over the rules, the sorted plain ones first, then wildcards, then exceptions, whatever their order in the list."""
+    of = lambda kind, mark: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.concat(F.lit(mark), "rule"))))
+    return rules.groupBy().agg(F.sha2(F.concat_ws("\n", of("plain", ""), of("wildcard", "*."), of("exception", "!")), 256).alias("digest"))
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """(line, section, kind, rule) of the rule list in a text file: one small published file, read whole to keep its order."""
+    return rule_rows(spark, "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
 
 
 def registrable(host: Column | str, rules: Rules) -> Column:
