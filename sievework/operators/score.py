@@ -11,6 +11,7 @@ from sievework.functions.text import affirmed_of, phrases_in, sentences
 from sievework.operators.classify import agreed, placements
 from sievework.operators.hot_keys import folded
 from sievework.operators.lookalike import lookalikes
+from sievework.operators.ranges import numbered
 
 
 def domain_links(post_domains: DataFrame) -> DataFrame:
@@ -86,3 +87,16 @@ def queue(scored: DataFrame, depth: int = 50) -> DataFrame:
     order = (F.desc("score"), F.desc("points"), F.asc("post_id"))
     top = scored.select("post_id", "account", "score", "points").orderBy(*order).limit(depth)
     return top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "post_id", "account", "score", "points")
+
+
+def ranked(scored: DataFrame) -> DataFrame:
+    """All scored posts with their rank in the queue's order."""
+    return numbered(scored, [F.desc("score"), F.desc("points"), F.asc("post_id")], "rank")
+
+
+def facts(scored: DataFrame, links: DataFrame, withheld: DataFrame) -> DataFrame:
+    """One row: posts, those with signals, those in conflict, the highest score; domains that can tie posts together, and those withheld."""
+    own = scored.agg(F.count("*").alias("posts"), F.sum((F.col("points") > 0).cast("bigint")).alias("with_signals"), F.sum(F.array_contains("signals", "category_conflict").cast("bigint")).alias("conflicting"), F.max("score").alias("highest"))
+    domains = links.select("domain").distinct().join(withheld.withColumn("listed", F.lit(True)), "domain", "left")
+    count = lambda c, n: F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).alias(n)
+    return own.crossJoin(F.broadcast(domains.agg(count(F.col("listed").isNull(), "associated"), count(F.col("listed").isNotNull(), "withheld"))))

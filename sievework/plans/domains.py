@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import rules, urls
+from sievework.functions.text import NEGATORS
 from sievework.operators import classify, hot_keys, lookalike, score
 from sievework.plans.registry import query, table
 from sievework.sources.suffixes import SMALL_RULES, Rules, classify_rules, digest, registrable, rule_rows, survey
@@ -200,9 +201,28 @@ def rul03(spark: SparkSession, d: str) -> DataFrame:
     return score.conflict(links(spark, d), classify.placements(posts(spark, d)), listed(spark, d))
 
 
-@query("rul04_content_signals")
+_WS = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
+def _sentences_sql(field: str) -> str:
+    return f"list_filter(string_split(regexp_replace(regexp_replace(coalesce({field}, ''), '^{_WS}|{_WS}$', '', 'g'), '([.!?]){_WS}', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_SIGNAL_ROWS = ", ".join(f"({_quoted(s)}, {_quoted(p)}, {_quoted('(^|[^0-9a-z])' + _WS.join(p.split()) + '($|[^0-9a-z])')})" for s, ps in rules.SIGNAL_PHRASES.items() for p in ps)
+#: A phrase counts where no negator stands before it in its sentence, nor the word no right before it.
+CONTENT = f"""ph(signal, phrase, pattern) AS (VALUES {_SIGNAL_ROWS}),
+    se AS (SELECT DISTINCT post_id, lower(unnest({_sentences_sql("title")} || {_sentences_sql("body")})) AS s FROM posts),
+    oc AS (SELECT post_id, signal, phrase, string_split(regexp_replace(s, pattern, '\\1' || chr(2) || '\\2', 'g'), chr(2)) AS parts FROM se, ph WHERE regexp_matches(s, pattern)),
+    be AS (SELECT post_id, signal, unnest(list_transform(range(1, len(parts)), lambda i: regexp_extract_all(replace(array_to_string(parts[1:i], chr(2)), chr(2), ' ' || phrase || ' '), '[a-z0-9]+(?:[''’-][a-z0-9]+)*'))) AS w FROM oc),
+    content AS (SELECT DISTINCT post_id, signal FROM be WHERE len(w) = 0 OR (w[-1] <> 'no' AND NOT list_has_any(w, [{", ".join(map(_quoted, NEGATORS))}])))"""
+
+
+@query("rul04_content_signals", f"{WITH}, {CONTENT} SELECT post_id, signal FROM content")
 def rul04(spark: SparkSession, d: str) -> DataFrame:
-    """Content signals with the negation guard, which SQL can't say; tested against brute force."""
     return score.content(posts(spark, d))
 
 
@@ -210,20 +230,36 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
     return score.scores(posts(spark, d), table(spark, d, "post_domains"), table(spark, d, "shared_hosts"))
 
 
-@query("agg14_policy_scores")
+SCORES = f"""{WITH}, {PLACED}, {VOTES}, {MAJORITY}, {CONTENT}, kept AS (SELECT * FROM links ANTI JOIN listed USING (domain)),
+    dn AS (SELECT DISTINCT domain, split_part(domain, '.', 1) AS label, CASE WHEN strpos(domain, '.') > 0 THEN substr(domain, strpos(domain, '.') + 1) ELSE '' END AS suffix FROM links),
+    near AS (SELECT DISTINCT x.domain FROM dn x JOIN dn y ON x.suffix = y.suffix AND x.domain <> y.domain AND abs(length(x.label) - length(y.label)) <= 1 AND damerau_levenshtein(x.label, y.label) = 1),
+    hits AS (SELECT post_id, signal FROM content UNION SELECT post_id, 'domain_frequency' FROM kept WHERE domain IN (SELECT domain FROM kept GROUP BY domain HAVING count(DISTINCT account) >= 2)
+        UNION SELECT post_id, 'domain_lookalike' FROM links SEMI JOIN near USING (domain)
+        UNION SELECT v.post_id, 'category_conflict' FROM votes v JOIN majority m USING (domain) WHERE m.majority IS NOT NULL AND v.scam_category <> 'Other' AND v.scam_category <> m.majority),
+    weight(signal, weight) AS (VALUES ('category_conflict', 20), ('domain_frequency', 30), ('domain_lookalike', 20), ('guaranteed_return', 25), ('payment_request', 20), ('urgency_language', 15)),
+    sums AS (SELECT post_id, sum(weight) AS points, string_agg(signal, ',' ORDER BY signal) AS signals FROM hits JOIN weight USING (signal) GROUP BY post_id),
+    scores AS (SELECT p.post_id, p.account, CAST((200 * coalesce(points, 0) + 130) // 260 AS INTEGER) AS score, CAST(coalesce(points, 0) AS INTEGER) AS points, coalesce(signals, '') AS signals FROM posts p LEFT JOIN sums USING (post_id))"""
+
+
+@query("agg14_policy_scores", f"{SCORES} SELECT post_id, account, score, points, signals FROM scores")
 def agg14(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d).withColumn("signals", F.array_join("signals", ","))
 
 
-@query("top01_review_queue")
+@query("top01_review_queue", f"{SCORES} SELECT row_number() OVER (ORDER BY score DESC, points DESC, post_id) AS rank, post_id, account, score, points FROM scores ORDER BY rank LIMIT 50")
 def top01(spark: SparkSession, d: str) -> DataFrame:
     return score.queue(_scores(spark, d), 50)
 
 
-@query("agg29_score_facts")
+@query("win04_queue_rank", f"{SCORES} SELECT row_number() OVER (ORDER BY score DESC, points DESC, post_id) AS rank, post_id FROM scores")
+def win04(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every post in the queue, not only of the first."""
+    return score.ranked(_scores(spark, d)).select("rank", "post_id")
+
+
+@query("agg29_score_facts", f"{SCORES} SELECT count(*) AS posts, CAST(sum((points > 0)::INT) AS BIGINT) AS with_signals, CAST(sum(contains(signals, 'category_conflict')::INT) AS BIGINT) AS conflicting, max(score) AS highest, (SELECT count(DISTINCT domain) FROM kept) AS associated, (SELECT count(DISTINCT domain) FROM links SEMI JOIN listed USING (domain)) AS withheld FROM scores")
 def agg29(spark: SparkSession, d: str) -> DataFrame:
-    s = _scores(spark, d)
-    return s.agg(F.count("*").alias("posts"), F.sum((F.col("points") > 0).cast("bigint")).alias("with_signals"), F.sum(F.array_contains("signals", "category_conflict").cast("bigint")).alias("conflicting"), F.max("score").alias("highest"))
+    return score.facts(_scores(spark, d), links(spark, d), listed(spark, d))
 
 
 @query("mth03_normalised", "SELECT range AS points, CAST((200 * range + 130) // 260 AS INTEGER) AS score FROM range(131)")

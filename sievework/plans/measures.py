@@ -119,11 +119,6 @@ def join12(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "post_id").join(posts(spark, d).select("post_id", "account"), "post_id").select("doc_id", "account")
 
 
-@query("win04_queue_rank", "SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank, o_orderkey FROM orders ORDER BY rank LIMIT 50")
-def win04(spark: SparkSession, d: str) -> DataFrame:
-    return store.top(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 50).select("rank", "o_orderkey")
-
-
 @query("win07_share_of_total", f"WITH p AS ({POSTS}), n AS (SELECT subreddit, count(*) AS posts FROM p GROUP BY 1) SELECT subreddit, posts, CAST((1000 * posts + sum(posts) OVER () // 2) // sum(posts) OVER () AS BIGINT) AS per_mille FROM n")
 def win07(spark: SparkSession, d: str) -> DataFrame:
     return composition.per_mille(posts(spark, d).groupBy("subreddit").agg(F.count("*").alias("posts")), "posts")
