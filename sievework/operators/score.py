@@ -12,6 +12,7 @@ from sievework.operators.classify import agreed, placements
 from sievework.operators.hot_keys import folded
 from sievework.operators.lookalike import lookalikes
 from sievework.operators.ranges import numbered
+from sievework.partitioning import checkpointed
 
 
 def domain_links(post_domains: DataFrame) -> DataFrame:
@@ -62,9 +63,11 @@ def content(posts: DataFrame) -> DataFrame:
 
 def signals(posts: DataFrame, post_domains: DataFrame, hosts: DataFrame) -> DataFrame:
     """(post_id, signal): the signals of every post, each once."""
-    links, withheld = domain_links(post_domains), withheld_domains(hosts)
+    # each is read several times below, and a filter on the class would otherwise match all patterns again
+    links, withheld = checkpointed(domain_links(post_domains)), withheld_domains(hosts)
+    placed = checkpointed(placements(posts).select("post_id", "scam_category"))
     named = lambda df, s: df.select("post_id", F.lit(s).alias("signal"))
-    links_of = [named(conflict(links, placements(posts), withheld), "category_conflict"), named(frequency(links, withheld), "domain_frequency"), named(lookalike(links), "domain_lookalike")]
+    links_of = [named(conflict(links, placed, withheld), "category_conflict"), named(frequency(links, withheld), "domain_frequency"), named(lookalike(links), "domain_lookalike")]
     out = content(posts)
     for df in links_of:
         out = out.unionByName(df)
