@@ -1,13 +1,22 @@
 """p4: per-key results when a few keys hold most rows.
 
-Everything is an algebraic aggregate, so Spark combines on the map side in bounded hash tables that
-spill: what is shuffled is one compact state per key and partition, however hot the key is.
+Counts are algebraic aggregates, so Spark combines them on the map side in bounded hash tables that
+spill: what is shuffled is one compact state for each (key, member) and partition, however hot a key
+is.  Distinct items need no exchange of their rows either: 64-bit hashes of the items are counted
+first, and only rows of items that occur more than once, few as deliveries are rarely repeated, are
+made distinct row by row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sievework.partitioning import checkpointed
+
+#: Hashes of repeated items that are broadcast (8 MB); with more of them all rows are made distinct.
+FEW_REPEATED = 1 << 20
 
 
 def folded(value: Column | str) -> Column:
@@ -19,15 +28,23 @@ def folded(value: Column | str) -> Column:
 def leading_member(rows: DataFrame, key: str, member: str, item: str) -> DataFrame:
     """(key, member): for every key the member with the most distinct items, ties to the smallest name.
 
-    Rows with a null key or member are left out, items that are null don't count but keep their
-    member in the running; repeated rows count once.  Distinct items are found by a group on all
-    three columns, which no hot key can skew; the two groups above it merge counts.  An empty input
-    gives no rows.
+    Where ``key`` is an array, a row speaks for each of its distinct keys.  Null keys and members are
+    left out, items that are null don't count but keep their member in the running; repeated rows
+    count once.  An empty input gives no rows.
     """
-    once = rows.where(F.col(key).isNotNull() & F.col(member).isNotNull()).select(key, member, item).distinct()
-    counted = once.groupBy(key, member).agg(F.count(item).alias("n"))
-    best = counted.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(member).alias("who"))).alias("best"))
-    return best.select(key, F.col("best.who").alias(member))
+    keys = F.array_distinct(key) if isinstance(rows.schema[key].dataType, T.ArrayType) else F.array(key)
+    own = rows.where(F.col(member).isNotNull()).select(keys.alias("_keys"), F.col(member).alias("_member"), F.col(item).alias("_item"), F.xxhash64(item).alias("_hash"))
+    repeated = checkpointed(own.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash"))
+    each = lambda df: df.select(F.explode("_keys").alias("_key"), "_member", "_item").where("_key IS NOT NULL")
+    tally = lambda df: df.groupBy("_key", "_member").agg(F.count("_item").alias("n"))
+    if repeated.count() <= FEW_REPEATED:
+        few = F.broadcast(repeated)
+        once = tally(each(own.join(few, "_hash", "left_anti")))
+        counted = once.unionByName(tally(each(own.join(few, "_hash", "left_semi")).distinct())).groupBy("_key", "_member").agg(F.sum("n").alias("n"))
+    else:
+        counted = tally(each(own).distinct())
+    best = counted.groupBy("_key").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("_member").alias("who"))).alias("best"))
+    return best.select(F.col("_key").alias(key), F.col("best.who").alias(member))
 
 
 def leading_accounts(post_domains: DataFrame) -> DataFrame:
@@ -36,6 +53,5 @@ def leading_accounts(post_domains: DataFrame) -> DataFrame:
     Null lists, null links, null domains and null accounts are left out; a domain that folds to an
     empty string is kept as such; the same link twice in a post counts once.
     """
-    domains = F.array_distinct(F.transform("links", lambda x: folded(x["domain"])))
-    rows = post_domains.where(F.col("account").isNotNull()).select("post_id", "account", F.explode(domains).alias("domain"))
-    return leading_member(rows.where("domain IS NOT NULL"), "domain", "account", "post_id")
+    rows = post_domains.select("post_id", "account", F.transform("links", lambda x: folded(x["domain"])).alias("domain"))
+    return leading_member(rows, "domain", "account", "post_id")

@@ -8,6 +8,7 @@ import pytest
 from sievework.functions import contacts, text, urls, vectors
 from sievework.operators import candidates, evaluate, graph, hot_keys, lookalike, model, score, store
 from sievework.partitioning import labels
+from sievework.plans import reports
 from sievework.sources import contracts
 from sievework.sources.suffixes import SMALL_RULES, Rules, registrable
 
@@ -120,6 +121,28 @@ def test_leading_member_with_a_hot_key(spark):
     assert {tuple(r) for r in hot_keys.leading_member(df, "domain", "account", "post_id").collect()} == set(zip(pdf.domain, pdf.account))
 
 
+def test_leading_member_with_and_without_few_repeats(spark, monkeypatch):
+    df = spark.range(4_000).selectExpr("concat('k', id % 7) AS domain", "concat('a', id % 11) AS account", "cast(id % 900 AS string) AS post_id")
+    found = []
+    for few in (hot_keys.FEW_REPEATED, 0):
+        monkeypatch.setattr(hot_keys, "FEW_REPEATED", few)
+        found.append(sorted(map(tuple, hot_keys.leading_member(df, "domain", "account", "post_id").collect())))
+    assert found[0] == found[1] and len(found[0]) == 7
+
+
+def test_foreign_posts(spark):
+    named = spark.createDataFrame([("c", ["a"], "p"), ("c", ["a"], "q"), ("c", ["a"], "x"), ("d", None, "p"), ("c", ["a"], "x")], "candidate_id string, accounts array<string>, post_id string")
+    posts = spark.createDataFrame([("p", "a"), ("q", "b")], "post_id string, account string")
+    assert {tuple(r) for r in contracts.foreign_posts(named, posts).collect()} == {("c", "q", "another author"), ("c", "x", "unknown"), ("d", "p", "another author")}
+
+
+def test_durations(spark):
+    want = {0: "0 s", 59: "59 s", 60: "1 min", 61: "1 min 1 s", 3600: "1 h", 3661: "1 h 1 min", 86_400: "1 d", 90_061: "1 d 1 h", 86_401: "1 d", None: None}
+    df = spark.createDataFrame([(k,) for k in want], "seconds bigint")
+    assert {r.seconds: r.gap for r in df.select("seconds", text.duration("seconds").alias("gap")).collect()} == want
+    assert [reports.duration(k) for k in (0, 61, 90_061)] == ["0 s", "1 min 1 s", "1 d 1 h"]
+
+
 def test_timing(spark):
     shared = spark.createDataFrame([("a", "g", "k", "v"), ("b", "g", "k", "v"), ("c", "g", "k", "lone")], "account string, group_account string, kind string, value string")
     moments = spark.createDataFrame([("a", 0), ("a", 3_600_000_000), ("b", 5_400_000_000), ("b", 16_200_000_000), ("c", 1), ("b", None)], "account string, moment bigint")
