@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.operators import candidates as C
-from sievework.operators import classify, evaluate, graph, store
+from sievework.operators import classify, evaluate, graph, records, store
 from sievework.operators.ranges import numbered
 from sievework.plans.domains import PLACED, POSTS, WITH, posts
 from sievework.plans.posts import MATCHES
@@ -240,6 +240,70 @@ def agg10(spark: SparkSession, d: str) -> DataFrame:
     return contacts.recall(published, found)
 
 
+#: Groups are the stored candidates' accounts: many, overlapping and of all sizes.
+_RECORDS = f"""{WITH}, {PLACED}, {MOMENTS}, m AS ({MATCHES}),
+    mem AS (SELECT DISTINCT candidate_id AS g, account FROM (SELECT candidate_id, unnest(accounts) AS account FROM campaign_candidates) WHERE account IS NOT NULL),
+    own AS (SELECT g, p.post_id, p.account, p.created_at FROM posts p JOIN mem USING (account)),
+    ev AS (SELECT g, 'registration' AS kind, domain AS value, account, post_id, domain AS spelling FROM links ANTI JOIN listed USING (domain) JOIN mem USING (account)
+        UNION SELECT g, kind, value, account, post_id, found_as FROM m JOIN mem USING (account) WHERE value IS NOT NULL AND (kind <> 'email' OR lower(regexp_extract(value, '[^@]*$')) NOT IN (SELECT domain FROM listed))),
+    sh AS (SELECT ev.* FROM ev JOIN (SELECT g, kind, value FROM ev GROUP BY ALL HAVING count(DISTINCT account) > 1) w USING (g, kind, value)),
+    gaps AS (SELECT g, kind, value, account, moment, lag(moment) OVER w AS before, lag(account) OVER w AS who FROM (SELECT DISTINCT g, kind, value, account FROM sh) JOIN (SELECT DISTINCT account, moment FROM moments WHERE moment IS NOT NULL) USING (account) WINDOW w AS (PARTITION BY g, kind, value ORDER BY moment, account)),
+    times AS (SELECT g, kind, value, CAST(coalesce(min(CASE WHEN who <> account THEN moment - before END), 0) // 1000000 AS BIGINT) AS closest_seconds, CAST((max(moment) - min(moment)) // 1000000 AS BIGINT) AS span_seconds FROM gaps GROUP BY g, kind, value),
+    e AS (SELECT DISTINCT post_id, embedding::DOUBLE[] AS v FROM content_embeddings WHERE dimensions = 256 AND len(embedding) = 256 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+    near AS (SELECT a.g, a.post_id AS post, min(1 - list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v)) / sqrt(list_dot_product(y.v, y.v))) AS distance FROM own a JOIN e x ON x.post_id = a.post_id JOIN own b ON a.g = b.g AND a.account <> b.account JOIN e y ON y.post_id = b.post_id GROUP BY ALL)"""
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    from sievework.plans.posts import _usable
+
+    p = posts(spark, d)
+    members = table(spark, d, "campaign_candidates").select(F.col("candidate_id").alias("group"), F.explode("accounts").alias("account")).where("account IS NOT NULL")
+    return records.records(members, p, *(table(spark, d, n) for n in ("post_domains", "post_contacts", "shared_hosts")), classify.placements(p), _usable(spark, d))
+
+
+@query("agg07_candidate_members", f"{_RECORDS} SELECT g AS candidate_id, min(created_at) AS first_seen, string_agg(DISTINCT account, ',' ORDER BY account) AS accounts, string_agg(DISTINCT post_id, ',' ORDER BY post_id) AS posts FROM own GROUP BY g")
+def agg07m(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("candidate_id", "first_seen", F.array_join("accounts", ",").alias("accounts"), F.array_join("posts", ",").alias("posts"))
+
+
+@query("agg07_shared_things", f"{_RECORDS} SELECT g AS candidate_id, kind, value, string_agg(DISTINCT account, ',' ORDER BY account) AS accounts, string_agg(DISTINCT post_id, ',' ORDER BY post_id) AS posts, string_agg(DISTINCT spelling, ' | ' ORDER BY spelling) AS spellings FROM sh GROUP BY ALL")
+def agg07s(spark: SparkSession, d: str) -> DataFrame:
+    found = _records(spark, d)
+    links = found.select("candidate_id", F.explode("shared_domains").alias("x")).select("candidate_id", F.lit("registration").alias("kind"), F.col("x.domain").alias("value"), "x.accounts", "x.posts", F.array("x.domain").alias("spellings"))
+    points = found.select("candidate_id", F.explode("shared_contact_points").alias("x")).select("candidate_id", "x.*")
+    return links.unionByName(points).select("candidate_id", "kind", "value", F.array_join("accounts", ",").alias("accounts"), F.array_join("posts", ",").alias("posts"), F.array_join("spellings", " | ").alias("spellings"))
+
+
+@query("win01_candidate_timing", f"{_RECORDS} SELECT g AS candidate_id, kind, value, closest_seconds, span_seconds FROM times")
+def win01c(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("candidate_id", F.explode("corroboration").alias("x")).select("candidate_id", "x.*")
+
+
+@query("agg09_candidate_similarity", f"{_RECORDS} SELECT g AS candidate_id, post, round(distance, 6) AS distance FROM near")
+def agg09s(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("candidate_id", F.explode("similarity").alias("x")).select("candidate_id", "x.post", F.round("x.distance", 6).alias("distance"))
+
+
+_COHESION = f"""{_RECORDS}, t AS (SELECT g, count(*) AS pieces, CAST(sum((span_seconds <= 86400)::INT) AS BIGINT) AS timely FROM times GROUP BY g), l AS (SELECT g, CAST(sum((distance <= 0.5)::INT) AS BIGINT) AS near, min(distance) AS closest FROM near GROUP BY g),
+    n AS (SELECT g, scam_category AS name, count(*) AS n FROM own JOIN placed USING (post_id) GROUP BY ALL), v AS (SELECT g, string_agg(name || ' ' || n, ', ' ORDER BY name = 'Other', n DESC, name) AS tally, coalesce(sum(n) FILTER (name <> 'Other') >= 2 AND 2 * max(n) FILTER (name <> 'Other') > sum(n) FILTER (name <> 'Other'), false) AS agreed FROM n GROUP BY g),
+    z AS (SELECT g, count(DISTINCT post_id) AS posts FROM own GROUP BY g),
+    c AS (SELECT g AS candidate_id, coalesce(pieces, 0) AS pieces, coalesce(timely, 0) AS timely, posts, coalesce(near, 0) AS near, round(closest, 6) AS closest, tally, coalesce(timely, 0) > 0 AS t, coalesce(near, 0) = posts AS s, agreed AS k FROM z LEFT JOIN t USING (g) LEFT JOIN l USING (g) LEFT JOIN v USING (g)),
+    kept AS (SELECT *, t::INT + s::INT + k::INT >= 2 AS retained FROM c)"""
+
+
+@query("snk02_candidate_cohesion", f"{_COHESION} SELECT candidate_id, pieces, timely, posts, near, closest, tally, concat_ws(', ', CASE WHEN t THEN 'temporal proximity' END, CASE WHEN s THEN 'content similarity' END, CASE WHEN k THEN 'category agreement' END) AS corroborating, concat_ws(', ', CASE WHEN NOT t THEN 'temporal proximity' END, CASE WHEN NOT s THEN 'content similarity' END, CASE WHEN NOT k THEN 'category agreement' END) AS against, retained FROM kept")
+def snk02(spark: SparkSession, d: str) -> DataFrame:
+    c, t = F.col("content_similarity"), F.col("timing")
+    tally = F.array_join(F.transform("cohesion.category.tally", lambda x: F.concat_ws(" ", x["name"], x["count"].cast("string"))), ", ")
+    names = lambda n: F.array_join(f"cohesion.{n}", ", ").alias(n)
+    return _records(spark, d).select("candidate_id", t["pieces"].alias("pieces"), t["corroborated"].alias("timely"), c["pieces"].alias("posts"), c["corroborated"].alias("near"), F.round(c["closest_distance"], 6).alias("closest"), tally.alias("tally"), names("corroborating"), names("against"), "cohesion.retained")
+
+
+@query("agg12_candidate_rollup", f"{_COHESION}, x AS (SELECT DISTINCT candidate_id, account, retained FROM kept JOIN own ON g = candidate_id) SELECT system, count(DISTINCT candidate_id) AS candidates, count(DISTINCT account) AS accounts FROM (SELECT 'baseline' AS system, candidate_id, account FROM x UNION ALL SELECT CASE WHEN retained THEN 'retained' ELSE 'removed' END, candidate_id, account FROM x) GROUP BY system")
+def agg12c(spark: SparkSession, d: str) -> DataFrame:
+    return records.rollup(_records(spark, d))
+
+
 @query("grf02_nodes", f"{MEMBERS}, {SHARED} SELECT 'account' AS kind, account AS name, group_account FROM members UNION ALL SELECT 'post', post_id, group_account FROM posts JOIN members USING (account) UNION ALL SELECT DISTINCT kind, value, group_account FROM shared")
 def grf02(spark: SparkSession, d: str) -> DataFrame:
     shared, members = _shared(spark, d)
