@@ -103,3 +103,101 @@ def facts(scored: DataFrame, links: DataFrame, withheld: DataFrame) -> DataFrame
     domains = links.select("domain").distinct().join(withheld.withColumn("listed", F.lit(True)), "domain", "left")
     count = lambda c, n: F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).alias(n)
     return own.crossJoin(F.broadcast(domains.agg(count(F.col("listed").isNull(), "associated"), count(F.col("listed").isNotNull(), "withheld"))))
+
+
+#: The parts of the four kinds of evidence, told apart by which of them are there.
+EVIDENCE = {
+    "domain_frequency": ("domain", "posts", "accounts"),
+    "domain_lookalike": ("domain", "other"),
+    "category_conflict": ("domain", "post_category", "domain_category", "majority", "placed"),
+    "content": ("field", "phrases", "sentence"),
+}
+_PARTS = {"domain": "string", "posts": "bigint", "accounts": "bigint", "other": "string", "post_category": "string", "domain_category": "string", "majority": "bigint", "placed": "bigint", "field": "string", "phrases": "array<string>", "sentence": "string"}
+
+
+def _shaped(rows: DataFrame, signal: Column) -> DataFrame:
+    return rows.select("post_id", signal.alias("signal"), *((F.col(c).cast(t) if c in rows.columns else F.lit(None).cast(t)).alias(c) for c, t in _PARTS.items()))
+
+
+def evidence(posts: DataFrame, post_domains: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(post_id, signal, parts): every piece of evidence behind every signal of a post; parts of another kind are null.
+
+    A repeated sentence of a field is one piece.  Null texts, lists and domains give none.
+    """
+    links, withheld = checkpointed(domain_links(post_domains)), withheld_domains(hosts)
+    placed = checkpointed(placements(posts).select("post_id", "scam_category"))
+    kept = links.join(withheld, "domain", "left_anti")
+    wide = kept.groupBy("domain").agg(F.countDistinct("post_id").alias("posts"), F.countDistinct("account").alias("accounts")).where("accounts >= 2")
+    frequent = kept.select("post_id", "domain").distinct().join(wide, "domain")
+    pairs = lookalikes(links).select(F.explode(F.array(F.struct(F.col("a").alias("domain"), F.col("b").alias("other")), F.struct(F.col("b").alias("domain"), F.col("a").alias("other")))).alias("p")).select("p.*")
+    alike = links.select("post_id", "domain").distinct().join(pairs, "domain")
+    votes = kept.select("post_id", "domain").distinct().join(placed.where(F.col("scam_category") != rules.OTHER), "post_id")
+    agree = agreed(votes, "domain").where("majority IS NOT NULL").select("domain", F.col("majority").alias("domain_category"), F.col("top").alias("majority"), "placed")
+    against = votes.join(agree, "domain").where("scam_category <> domain_category").withColumnRenamed("scam_category", "post_category")
+
+    each = posts.select("post_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), sentences(f).alias("sentences")) for f in ("title", "body")))).alias("x"))
+    each = each.select("post_id", "x.field", F.explode(F.array_distinct("x.sentences")).alias("sentence"))
+    every = F.array(*(F.struct(F.lit(n).alias("signal"), phrases_in(F.col("sentence"), p).alias("phrases")) for n, p in rules.SIGNAL_PHRASES.items()))
+    some = each.select("*", F.explode(every).alias("x")).where(F.size("x.phrases") > 0)
+    said = some.select("post_id", "field", "sentence", "x.signal", affirmed_of("sentence", "x.phrases").alias("phrases")).where(F.size("phrases") > 0)
+    out = _shaped(said, F.col("signal"))
+    for rows, name in ((frequent, "domain_frequency"), (alike, "domain_lookalike"), (against, "category_conflict")):
+        out = out.unionByName(_shaped(rows, F.lit(name)))
+    return out
+
+
+def line(signal: str = "signal") -> Column:
+    """A piece of evidence as one line, by its kind."""
+    text = {
+        "domain_frequency": F.format_string("%s: %d posts, %d accounts", "domain", "posts", "accounts"),
+        "domain_lookalike": F.format_string("%s resembles %s", "domain", "other"),
+        "category_conflict": F.format_string("%s: %s, but %d of %d are %s", "domain", "post_category", "majority", "placed", "domain_category"),
+    }
+    out = F.format_string("%s: %s in: %s", "field", F.array_join("phrases", ", "), "sentence")
+    for name, value in text.items():
+        out = F.when(F.col(signal) == name, value).otherwise(out)
+    return out
+
+
+def score_records(posts: DataFrame, post_domains: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(post_id, account, score, points, published_points, published_signals, signals) with the evidence of every hit.
+
+    A post holds the evidence of its own links and sentences only, so no list outgrows a post.
+    """
+    weight = F.create_map(*(F.lit(x) for pair in rules.WEIGHTS.items() for x in pair))
+    place = F.create_map(*(F.lit(x) for i, n in enumerate(rules.WEIGHTS) for x in (n, i)))
+    found = evidence(posts, post_domains, hosts).groupBy("post_id", "signal").agg(F.array_sort(F.collect_list(F.struct(*_PARTS))).alias("evidence"))
+    hits = found.groupBy("post_id").agg(F.array_sort(F.collect_list(F.struct(place[F.col("signal")].alias("o"), "signal", weight[F.col("signal")].alias("weight"), "evidence"))).alias("s"))
+    rows = posts.select("post_id", "account").join(hits, "post_id", "left")
+    signals_ = F.transform("s", lambda x: F.struct(x["signal"].alias("signal"), x["weight"].alias("weight"), x["evidence"].alias("evidence")))
+    kind = "array<struct<signal:string,weight:int,evidence:array<struct<" + ",".join(f"{c}:{t}" for c, t in _PARTS.items()) + ">>>>"
+    points = F.coalesce(F.aggregate("s", F.lit(0), lambda a, x: a + x["weight"]), F.lit(0))
+    return rows.select("post_id", "account", normalised(points).alias("score"), points.alias("points"), F.lit(rules.PUBLISHED_POINTS).alias("published_points"), F.lit(len(rules.WEIGHTS)).alias("published_signals"), F.coalesce(signals_.cast(kind), F.array().cast(kind)).alias("signals"))
+
+
+def check_scores(scored: DataFrame) -> DataFrame:
+    """(check, faults): score records that their own evidence doesn't bear out."""
+    weight = F.create_map(*(F.lit(x) for pair in rules.WEIGHTS.items() for x in pair))
+    points = F.aggregate("signals", F.lit(0), lambda a, x: a + x["weight"])
+    order = F.transform("signals", lambda x: F.array_position(F.array(*map(F.lit, rules.WEIGHTS)), x["signal"]))
+    shape = lambda x, e: F.array_compact(F.array(*(F.when(e[c].isNotNull(), F.lit(c)) for c in _PARTS)))
+    due = lambda x: F.coalesce(*(F.when(x["signal"] == n, F.array(*map(F.lit, ps))) for n, ps in EVIDENCE.items() if n != "content"), F.array(*map(F.lit, EVIDENCE["content"])))
+    checks = {
+        "points": points != F.col("points"),
+        "score": normalised(points) != F.col("score"),
+        "published": (F.col("published_points") != rules.PUBLISHED_POINTS) | (F.col("published_signals") != len(rules.WEIGHTS)),
+        "weight": F.exists("signals", lambda x: F.coalesce(F.try_element_at(weight, x["signal"]) != x["weight"], F.lit(True))),
+        "order": order != F.array_sort(F.array_distinct(order)),
+        "no_evidence": F.exists("signals", lambda x: F.coalesce(F.size(x["evidence"]) == 0, F.lit(True))),
+        "shape": F.exists("signals", lambda x: F.exists(x["evidence"], lambda e: F.size(F.array_except(shape(x, e), due(x))) + F.size(F.array_except(due(x), shape(x, e))) > 0)),
+    }
+    each = scored.agg(*(F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("bigint")), F.lit(0)).alias(n) for n, c in checks.items()))
+    return each.select(F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.col(n).alias("faults")) for n in checks))).alias("x")).select("x.*")
+
+
+def read_scores(scored: DataFrame) -> DataFrame:
+    """Score records, refused if any breaks a check."""
+    broken = [f"{r.check}: {r.faults}" for r in check_scores(scored).collect() if r.faults]
+    if broken:
+        raise ValueError("score records contradict their evidence: " + ", ".join(broken))
+    return scored

@@ -262,6 +262,34 @@ def agg29(spark: SparkSession, d: str) -> DataFrame:
     return score.facts(_scores(spark, d), links(spark, d), listed(spark, d))
 
 
+def _score_records(spark: SparkSession, d: str) -> DataFrame:
+    return score.score_records(posts(spark, d), table(spark, d, "post_domains"), table(spark, d, "shared_hosts"))
+
+
+_LINES = f"""{SCORES}, fs AS (SELECT DISTINCT post_id, 'title' AS field, unnest({_sentences_sql("title")}) AS sentence FROM posts UNION SELECT DISTINCT post_id, 'body', unnest({_sentences_sql("body")}) FROM posts),
+    fo AS (SELECT post_id, field, sentence, signal, phrase, string_split(regexp_replace(lower(sentence), pattern, '\\1' || chr(2) || '\\2', 'g'), chr(2)) AS parts FROM fs, ph WHERE regexp_matches(lower(sentence), pattern)),
+    fb AS (SELECT post_id, field, sentence, signal, phrase, unnest(list_transform(range(1, len(parts)), lambda i: regexp_extract_all(replace(array_to_string(parts[1:i], chr(2)), chr(2), ' ' || phrase || ' '), '[a-z0-9]+(?:[''’-][a-z0-9]+)*'))) AS w FROM fo),
+    fa AS (SELECT DISTINCT post_id, field, sentence, signal, phrase FROM fb WHERE len(w) = 0 OR (w[-1] <> 'no' AND NOT list_has_any(w, [{", ".join(map(_quoted, NEGATORS))}]))),
+    reach AS (SELECT domain, count(DISTINCT post_id) AS posts, count(DISTINCT account) AS accounts FROM kept GROUP BY domain HAVING count(DISTINCT account) >= 2)
+    SELECT post_id, signal, field || ': ' || string_agg(phrase, ', ' ORDER BY phrase) || ' in: ' || sentence AS line FROM fa GROUP BY post_id, signal, field, sentence
+    UNION ALL SELECT DISTINCT post_id, 'domain_frequency', domain || ': ' || posts || ' posts, ' || accounts || ' accounts' FROM kept JOIN reach USING (domain)
+    UNION ALL SELECT DISTINCT l.post_id, 'domain_lookalike', x.domain || ' resembles ' || y.domain FROM links l JOIN dn x USING (domain) JOIN dn y ON x.suffix = y.suffix AND x.domain <> y.domain AND abs(length(x.label) - length(y.label)) <= 1 AND damerau_levenshtein(x.label, y.label) = 1
+    UNION ALL SELECT DISTINCT v.post_id, 'category_conflict', domain || ': ' || v.scam_category || ', but ' || top || ' of ' || placed || ' are ' || m.majority FROM votes v JOIN majority m USING (domain) WHERE m.majority IS NOT NULL AND v.scam_category <> 'Other' AND v.scam_category <> m.majority"""
+
+
+@query("rul05_evidence_lines", _LINES)
+def rul05(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of evidence of all four kinds, as its line."""
+    found = score.evidence(posts(spark, d), table(spark, d, "post_domains"), table(spark, d, "shared_hosts"))
+    return found.select("post_id", "signal", score.line().alias("line"))
+
+
+@query("src12_score_checks", "SELECT unnest(['points', 'score', 'published', 'weight', 'order', 'no_evidence', 'shape']) AS \"check\", 0::BIGINT AS faults")
+def src12(spark: SparkSession, d: str) -> DataFrame:
+    """Points and scores of all records derived again from their evidence; a whole set has no fault."""
+    return score.check_scores(_score_records(spark, d))
+
+
 @query("mth03_normalised", "SELECT range AS points, CAST((200 * range + 130) // 260 AS INTEGER) AS score FROM range(131)")
 def mth03(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(131).select(F.col("id").alias("points"), score.normalised(F.col("id")).alias("score"))

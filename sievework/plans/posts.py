@@ -49,6 +49,42 @@ def src13(spark: SparkSession, d: str) -> DataFrame:
     return contracts.candidate_faults(table(spark, d, "campaign_candidates"))
 
 
+_CHECKS = {
+    "few_accounts": "len(list_distinct(accounts)) < 2",
+    "repeated_accounts": "len(list_distinct(accounts)) + (len(list_filter(accounts, lambda x: x IS NULL)) > 0)::INT < len(accounts)",
+    "null_accounts": "len(list_filter(accounts, lambda x: x IS NULL)) > 0",
+    "no_posts": "len(posts) = 0",
+    "repeated_posts": "len(list_distinct(posts)) < len(posts)",
+    "nothing_shared": "len(shared_domains) = 0 AND len(shared_contact_points) = 0",
+    "domain_of_one": "len(list_filter(shared_domains, lambda s: len(list_distinct(s.accounts)) < 2)) > 0",
+    "domain_of_others": "len(list_filter(shared_domains, lambda s: NOT list_has_all(accounts, list_filter(s.accounts, lambda a: a IS NOT NULL)))) > 0",
+    "domain_in_other_posts": "len(list_filter(shared_domains, lambda s: NOT list_has_all(posts, s.posts))) > 0",
+    "repeated_domains": "len(list_distinct(list_transform(shared_domains, lambda s: s.domain))) + (len(list_filter(shared_domains, lambda s: s.domain IS NULL)) > 0)::INT < len(shared_domains)",
+    "point_of_one": "len(list_filter(shared_contact_points, lambda s: len(list_distinct(s.accounts)) < 2)) > 0",
+    "point_in_other_posts": "len(list_filter(shared_contact_points, lambda s: NOT list_has_all(posts, s.posts))) > 0",
+    "pieces_miscounted": "timing.pieces <> len(corroboration)",
+    "more_timely_than_pieces": "timing.corroborated > timing.pieces",
+    "closest_not_least": "timing.closest_seconds <> list_min(list_transform(corroboration, lambda c: c.closest_seconds))",
+    "timely_miscounted": "timing.corroborated <> len(list_filter(corroboration, lambda c: c.span_seconds <= timing.window_seconds))",
+    "span_below_gap": "len(list_filter(corroboration, lambda c: c.span_seconds < c.closest_seconds)) > 0",
+    "no_window": "timing.window_seconds < 3600",
+    "similar_to_own": "len(list_filter(similarity, lambda x: x.account = x.nearest_account)) > 0",
+    "similar_of_others": "len(list_filter(similarity, lambda x: NOT list_contains(posts, x.post) OR NOT list_contains(posts, x.nearest))) > 0",
+    "distance_out_of_range": "len(list_filter(similarity, lambda x: x.distance < 0 OR x.distance > 2)) > 0",
+    "near_miscounted": "content_similarity.corroborated <> len(list_filter(similarity, lambda x: x.distance <= content_similarity.threshold))",
+    "not_three": "len(cohesion.against) + len(cohesion.corroborating) <> 3",
+    "for_and_against": "list_has_any(cohesion.against, cohesion.corroborating)",
+    "quorum_broken": "cohesion.retained <> (len(cohesion.corroborating) >= 2)",
+    "class_twice": "len(list_distinct(list_transform(cohesion.category.tally, lambda t: t.name))) < len(cohesion.category.tally)",
+    "empty_class": "len(list_filter(cohesion.category.tally, lambda t: t.count < 1)) > 0",
+}
+
+
+@query("src13_candidate_checks", " UNION ALL ".join(f"SELECT '{n}' AS \"check\", CAST(coalesce(sum(coalesce({c}, false)::INT), 0) AS BIGINT) AS faults FROM campaign_candidates" for n, c in _CHECKS.items()))
+def src13c(spark: SparkSession, d: str) -> DataFrame:
+    return contracts.candidate_checks(table(spark, d, "campaign_candidates"))
+
+
 @query("src15_vector_models", "SELECT model, dimensions, count(*) AS rows, sum((NOT regexp_full_match(coalesce(text_sha256, ''), '[0-9a-f]{64}'))::INT)::BIGINT AS bad_digests FROM content_embeddings GROUP BY ALL")
 def src15(spark: SparkSession, d: str) -> DataFrame:
     bad = ~F.coalesce("text_sha256", F.lit("")).rlike("^[0-9a-f]{64}$")

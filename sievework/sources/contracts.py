@@ -89,6 +89,44 @@ def foreign_posts(named: DataFrame, posts: DataFrame) -> DataFrame:
     return rows.select("candidate_id", "post_id", fault.alias("fault")).where("fault IS NOT NULL").distinct()
 
 
+#: What must not hold of a candidate record, by name; an unknown (null) answer is no fault.
+CANDIDATE_CHECKS = {
+    "few_accounts": "size(array_distinct(array_compact(accounts))) < 2",
+    "repeated_accounts": "size(array_distinct(accounts)) < size(accounts)",
+    "null_accounts": "exists(accounts, x -> x IS NULL)",
+    "no_posts": "size(posts) = 0",
+    "repeated_posts": "size(array_distinct(posts)) < size(posts)",
+    "nothing_shared": "size(shared_domains) = 0 AND size(shared_contact_points) = 0",
+    "domain_of_one": "exists(shared_domains, s -> size(array_distinct(array_compact(s.accounts))) < 2)",
+    "domain_of_others": "exists(shared_domains, s -> size(array_except(array_compact(s.accounts), accounts)) > 0)",
+    "domain_in_other_posts": "exists(shared_domains, s -> size(array_except(s.posts, posts)) > 0)",
+    "repeated_domains": "size(array_distinct(transform(shared_domains, s -> s.domain))) < size(shared_domains)",
+    "point_of_one": "exists(shared_contact_points, s -> size(array_distinct(array_compact(s.accounts))) < 2)",
+    "point_in_other_posts": "exists(shared_contact_points, s -> size(array_except(s.posts, posts)) > 0)",
+    "pieces_miscounted": "timing.pieces <> size(corroboration)",
+    "more_timely_than_pieces": "timing.corroborated > timing.pieces",
+    "closest_not_least": "timing.closest_seconds <> array_min(transform(corroboration, c -> c.closest_seconds))",
+    "timely_miscounted": "timing.corroborated <> size(filter(corroboration, c -> c.span_seconds <= timing.window_seconds))",
+    "span_below_gap": "exists(corroboration, c -> c.span_seconds < c.closest_seconds)",
+    "no_window": "timing.window_seconds < 3600",
+    "similar_to_own": "exists(similarity, x -> x.account = x.nearest_account)",
+    "similar_of_others": "exists(similarity, x -> NOT array_contains(posts, x.post) OR NOT array_contains(posts, x.nearest))",
+    "distance_out_of_range": "exists(similarity, x -> x.distance < 0 OR x.distance > 2)",
+    "near_miscounted": "content_similarity.corroborated <> size(filter(similarity, x -> x.distance <= content_similarity.threshold))",
+    "not_three": "size(cohesion.against) + size(cohesion.corroborating) <> 3",
+    "for_and_against": "size(array_intersect(cohesion.against, cohesion.corroborating)) > 0",
+    "quorum_broken": "cohesion.retained <> (size(cohesion.corroborating) >= 2)",
+    "class_twice": "size(array_distinct(transform(cohesion.category.tally, t -> t.name))) < size(cohesion.category.tally)",
+    "empty_class": "exists(cohesion.category.tally, t -> t.count < 1)",
+}
+
+
+def candidate_checks(candidates: DataFrame) -> DataFrame:
+    """(check, faults): how many candidate records break each rule of their contract."""
+    each = candidates.agg(*(F.coalesce(F.sum(F.coalesce(F.expr(c), F.lit(False)).cast("bigint")), F.lit(0)).alias(n) for n, c in CANDIDATE_CHECKS.items()))
+    return each.select(F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.col(n).alias("faults")) for n in CANDIDATE_CHECKS))).alias("x")).select("x.*")
+
+
 def candidate_faults(candidates: DataFrame) -> DataFrame:
     """One row that counts the records that break a rule of theirs."""
     n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).alias
