@@ -84,3 +84,22 @@ def class_statistics(rows: DataFrame, label: str, score: str) -> DataFrame:
 def external(rows: DataFrame, order: str) -> DataFrame:
     """The rows of an external set with running ids ext_0001, ext_0002, ... in a total order."""
     return numbered(rows, [F.asc(order)], "_n").withColumn("external_id", F.format_string("ext_%04d", "_n")).drop("_n")
+
+
+def worst_bin(bins: DataFrame) -> DataFrame:
+    """(bin, gap): the bin with the largest gap, the first of equals; no row if all bins are empty."""
+    best = bins.where("gap IS NOT NULL").agg(F.min(F.struct((-F.col("gap")).alias("gap"), "bin")).alias("b")).where("b IS NOT NULL")
+    return best.select("b.bin", (-F.col("b.gap")).alias("gap"))
+
+
+def overlap_sets(truth: DataFrame, proposed: DataFrame, truth_id: str, proposed_id: str, member: str = "account") -> DataFrame:
+    """(truth_id, proposed_id, member, side): for every pair of groups that share a member, who is held by both, missing from the proposal or extra in it.
+
+    One row for each member of a pair, so no group is gathered in one row.
+    """
+    t, p = truth.select(truth_id, member).distinct(), proposed.select(proposed_id, member).distinct()
+    pairs = t.join(p, member).select(truth_id, proposed_id).distinct()
+    left = pairs.join(t, truth_id).withColumn("in_t", F.lit(True))
+    right = pairs.join(p, proposed_id).withColumn("in_p", F.lit(True))
+    both = left.join(right, [truth_id, proposed_id, member], "full")
+    return both.select(truth_id, proposed_id, member, F.when(F.col("in_p").isNull(), "missing").when(F.col("in_t").isNull(), "extra").otherwise("held").alias("side"))

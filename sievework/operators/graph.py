@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,25 +47,57 @@ def page(title: str, names: list[tuple[str, str]], lines: list[tuple[str, str, s
     return f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><style>{style}</style><h1>{html.escape(title)}</h1><svg xmlns="http://www.w3.org/2000/svg" width="1000" height="{size}">{"".join(arcs)}{"".join(shapes)}</svg>\n'
 
 
-def write_pages(node_rows: DataFrame, edge_rows: DataFrame, folder: str, most: int = 1000) -> list[str]:
-    """A page for each of the first groups by name, written by the driver; pages of groups that are gone are removed.
+#: Nodes and edges up to which a group is drawn; a larger one gets a page with its counts.
+MOST_NODES, MOST_EDGES = 2_000, 20_000
 
-    Pages are for people to read, so their number is bounded and stated; groups of more than 2,000
-    nodes are refused rather than cut.
+
+def pages(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
+    """(group_account, html): a page for every group, drawn up to ``MOST_NODES`` nodes and ``MOST_EDGES`` edges, else with counts by kind.
+
+    A group without edges is drawn by its nodes; null group names have no page.
+    """
+    tally = lambda df, kind: df.where("group_account IS NOT NULL").groupBy("group_account", kind).agg(F.count("*").alias("n"))
+    counts = tally(node_rows, "kind").groupBy("group_account").agg(F.sum("n").alias("nodes"), F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("kinds"))
+    lines = tally(edge_rows, "relation").groupBy("group_account").agg(F.sum("n").alias("edges"), F.array_sort(F.collect_list(F.struct(F.col("relation").alias("kind"), "n"))).alias("relations"))
+    size = counts.join(lines, "group_account", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
+    small = size.where((F.col("nodes") <= MOST_NODES) & (F.col("edges") <= MOST_EDGES)).select("group_account")
+    own = node_rows.join(small, "group_account").groupBy("group_account").agg(F.collect_list(F.struct("kind", "name")).alias("names"))
+    drawn = edge_rows.join(small, "group_account").groupBy("group_account").agg(F.collect_list(F.struct("relation", "source", "target")).alias("lines"))
+
+    def draw(title: pd.Series, names: pd.Series, lines: pd.Series) -> pd.Series:
+        rows = lambda x, keys: [tuple(r[k] for k in keys) for r in x] if x is not None else []
+        return pd.Series([page(t, rows(n, ("kind", "name")), rows(e, ("relation", "source", "target"))) for t, n, e in zip(title, names, lines)], dtype=object)
+
+    def count(title: pd.Series, kinds: pd.Series, relations: pd.Series) -> pd.Series:
+        items = lambda *lists: "".join(f"<li>{html.escape(str(r['kind']))}: {r['n']}</li>" for x in lists if x is not None for r in x)
+        return pd.Series([f'<!doctype html><meta charset="utf-8"><title>{html.escape(t)}</title><h1>{html.escape(t)}</h1><p>Too large to draw.</p><ul>{items(k, r)}</ul>\n' for t, k, r in zip(title, kinds, relations)], dtype=object)
+
+    near = own.join(drawn, "group_account", "left").select("group_account", F.pandas_udf(draw, "string")("group_account", "names", "lines").alias("html"))
+    far = size.join(small, "group_account", "left_anti").select("group_account", F.pandas_udf(count, "string")("group_account", "kinds", "relations").alias("html"))
+    return near.unionByName(far)
+
+
+def write_pages(node_rows: DataFrame, edge_rows: DataFrame, folder: str) -> list[str]:
+    """The pages of all groups as files of a folder that all executors share, written there by the tasks; pages of groups that are gone are removed.
+
+    A file is named by the group, other characters than letters, digits, - and _ by their code points.
     """
     at = Path(folder)
     at.mkdir(parents=True, exist_ok=True)
-    sizes = node_rows.groupBy("group_account").agg(F.count("*").alias("n")).orderBy("group_account").limit(most).collect()
-    if any(r.n > 2000 for r in sizes):
-        raise ValueError("a group has more than 2,000 nodes; it can't be drawn on a page")
-    names = [r.group_account for r in sizes]
-    few_n, few_e = (df.where(F.col("group_account").isin(names)).collect() if names else [] for df in (node_rows, edge_rows))
-    written = []
-    for name in names:
-        to = at / f"{''.join(ch if ch.isalnum() or ch in '-_' else '_' for ch in name)}.html"
-        to.write_text(page(name, [(r.kind, r.name) for r in few_n if r.group_account == name], [(r.relation, r.source, r.target) for r in few_e if r.group_account == name]), encoding="utf-8", newline="\n")
-        written.append(str(to))
-    for old in at.glob("*.html"):
-        if str(old) not in written:
-            old.unlink()
-    return written
+    made = pages(node_rows, edge_rows)
+
+    def save(rows):
+        for r in rows:
+            (at / file_name(r.group_account)).write_text(r.html, encoding="utf-8", newline="\n")
+
+    made.foreachPartition(save)
+    present = {p.name for p in at.glob("*.html")}
+    names = node_rows.where("group_account IS NOT NULL").select("group_account").distinct().toLocalIterator()
+    written = sorted({file_name(r.group_account) for r in names})
+    for old in present.difference(written):
+        (at / old).unlink()
+    return [str(at / n) for n in written]
+
+
+def file_name(group: str) -> str:
+    return "".join(ch if ch.isalnum() or ch in "-_" else f"+{ord(ch):x}+" for ch in group) + ".html"

@@ -312,3 +312,18 @@ def agg16(spark: SparkSession, d: str) -> DataFrame:
     from sievework.operators.composition import shares
 
     return shares(classify.placements(posts(spark, d)))
+
+
+_BASE = "b(category, reports) AS (VALUES ('Bills, Invoicing and Collections', 3897), ('Extortion', 32779), ('Identity and Account Takeover', 108701), ('Impersonating an Institution', 42189), ('Investment and Money Offers', 26130), ('Merchandise and Goods', 42018), ('Other', 10675), ('Phishing', 36771), ('Prizes, Appeals and Psychics', 5769), ('Relationships and Second Contacts', 16818), ('Work and Payroll', 14199))"
+
+
+@query(
+    "agg16_against_base_rates",
+    f"""{WITH}, {PLACED}, {_BASE}, n AS (SELECT scam_category AS category, count(*) AS posts FROM placed GROUP BY 1),
+    s AS (SELECT category, coalesce(posts, 0) AS posts, CAST((1000 * coalesce(posts, 0) + sum(posts) OVER () // 2) // sum(posts) OVER () AS BIGINT) AS per_mille, CAST((1000 * reports + sum(reports) OVER () // 2) // sum(reports) OVER () AS BIGINT) AS base FROM b LEFT JOIN n USING (category))
+    SELECT category, posts, per_mille, base, per_mille - base AS difference FROM s""",
+)
+def agg16b(spark: SparkSession, d: str) -> DataFrame:
+    from sievework.operators.composition import compared
+
+    return compared(classify.placements(posts(spark, d)))

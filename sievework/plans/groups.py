@@ -150,6 +150,11 @@ def join08(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.overlaps(*_accounts(spark, d), "campaign_id", "candidate_id")
 
 
+@query("join08_overlap_sets", f"WITH {ACCOUNTS}, b AS (SELECT DISTINCT campaign_id, candidate_id FROM truth JOIN ca USING (account)) SELECT campaign_id, candidate_id, coalesce(t.account, p.account) AS account, CASE WHEN p.account IS NULL THEN 'missing' WHEN t.account IS NULL THEN 'extra' ELSE 'held' END AS side FROM (SELECT b.*, account FROM b JOIN truth USING (campaign_id)) t FULL JOIN (SELECT b.*, account FROM b JOIN ca USING (candidate_id)) p USING (campaign_id, candidate_id, account)")
+def join08s(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.overlap_sets(*_accounts(spark, d), "campaign_id", "candidate_id")
+
+
 @query("agg17_outcomes", f"WITH {ACCOUNTS}, others AS (SELECT * FROM ca WHERE candidate_id NOT IN (SELECT campaign_id FROM truth)), b AS (SELECT campaign_id, candidate_id, count(*) AS held FROM truth JOIN others USING (account) GROUP BY ALL), w AS (SELECT campaign_id, bool_or(held = (SELECT count(*) FROM truth t WHERE t.campaign_id = b.campaign_id) AND held = (SELECT count(*) FROM others p WHERE p.candidate_id = b.candidate_id)) AS whole FROM b GROUP BY campaign_id) SELECT campaign_id, CASE WHEN whole THEN 'recovered' WHEN whole IS NOT NULL THEN 'partial' ELSE 'missed' END AS outcome FROM (SELECT DISTINCT campaign_id FROM truth) LEFT JOIN w USING (campaign_id)")
 def agg17(spark: SparkSession, d: str) -> DataFrame:
     truth, proposed = _accounts(spark, d)

@@ -38,6 +38,16 @@ def agg23(spark: SparkSession, d: str) -> DataFrame:
     return bins.select("bin", "rows", *(F.round(c, 6).alias(c) for c in ("predicted", "observed", "gap")))
 
 
+_BINS = f"WITH {_ROWS}, b AS (SELECT range::INT AS bin, range / 10.0 AS low, (range + 1) / 10.0 AS high FROM range(10)), g AS (SELECT bin, count(p) AS n, abs(avg(p) - avg(y)) AS gap FROM b LEFT JOIN r ON p >= CAST(low AS DOUBLE) AND p < CAST(high AS DOUBLE) GROUP BY bin)"
+
+
+@query("agg23_calibration_error", f"{_BINS} SELECT round(sum(n * coalesce(gap, 0)) / sum(n), 6) AS ece, (SELECT bin FROM g WHERE gap IS NOT NULL ORDER BY gap DESC, bin LIMIT 1) AS worst_bin, (SELECT round(max(gap), 6) FROM g) AS worst_gap FROM g")
+def agg23e(spark: SparkSession, d: str) -> DataFrame:
+    bins = evaluate.calibration(_rows(spark, d), "p", "y")
+    worst = evaluate.worst_bin(bins).select(F.col("bin").alias("worst_bin"), F.round("gap", 6).alias("worst_gap"))
+    return evaluate.expected_calibration_error(bins).select(F.round("ece", 6).alias("ece")).crossJoin(F.broadcast(worst))
+
+
 @query("agg24_class_statistics", f"WITH p AS ({POSTS}), w AS (SELECT subreddit, len(regexp_extract_all(coalesce(body, ''), '[\\p{{L}}\\p{{N}}]+')) AS n FROM p) SELECT subreddit, count(*) AS rows, round(avg(n), 6) AS mean, median(n) AS median, CAST(sum((n = 0)::INT) AS BIGINT) AS zeros FROM w GROUP BY 1")
 def agg24(spark: SparkSession, d: str) -> DataFrame:
     rows = posts(spark, d).select("subreddit", text.word_count("body").alias("n"))
