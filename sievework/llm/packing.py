@@ -100,12 +100,14 @@ def _blocked(items: DataFrame, n: int, round_: int) -> DataFrame:
 
 
 def packed(sizes: DataFrame, capacity: int = 2048, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, piece, start, tokens, container): where every item, or piece of one, lies.
+    """(doc_id, piece, start, tokens, container, certified): where every item, or piece of one, lies.
 
     ``sizes`` holds (doc_id, n_tokens).  An item above the capacity is cut into full pieces, each a
     container of its own, and a remainder that is packed like an item; others stay whole.  Items of
     size 0 or null take no room and lie in some container of their block.  Items of one id are told
     apart only if their sizes differ; equal ones stay separate rows.  An empty input gives no rows.
+    ``certified`` says that the block a container was packed in had as many containers as its lower
+    bound; a full piece always is.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
@@ -115,7 +117,7 @@ def packed(sizes: DataFrame, capacity: int = 2048, rounds: int = ROUNDS) -> Data
     full = F.when(whole > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), whole - 1), lambda i: F.struct(i.cast("int").alias("piece"), (i * capacity).alias("start"), F.lit(capacity).cast("bigint").alias("tokens")))).otherwise(F.array().cast("array<struct<piece:int,start:bigint,tokens:bigint>>"))
     cut = checkpointed(sizes.select("doc_id", F.explode(F.concat(full, rest)).alias("p")).select("doc_id", "p.*"))
     key = ["doc_id", "piece", "start", "tokens"]
-    done = cut.where(F.col("tokens") == capacity).select(*key, F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("container"))
+    done = cut.where(F.col("tokens") == capacity).select(*key, F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("container"), F.lit(True).alias("certified"))
     items = cut.where(F.col("tokens") < capacity)
     left = items.count()
     for r in range(rounds):
@@ -124,7 +126,7 @@ def packed(sizes: DataFrame, capacity: int = 2048, rounds: int = ROUNDS) -> Data
         last = r == rounds - 1
         out = checkpointed(_blocked(items, left, r).groupBy("block").applyInArrow(_pack(capacity, last), _PACKED))
         name = F.concat(F.lit(f"{r}-"), F.col("block"), F.lit("-"), F.col("bin"))
-        done = done.unionByName(out.where("NOT pooled").select(*key, name.alias("container")))
+        done = done.unionByName(out.where("NOT pooled").select(*key, name.alias("container"), (F.col("bins") == F.col("bound")).alias("certified")))
         items = out.where("pooled").select(*key)
         left = items.count()
     return done

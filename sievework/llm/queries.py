@@ -66,6 +66,14 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p7_containers(spark, d), 2048)
 
 
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every text decoded again from its ids by raw bytes, and whether it is the same; null texts come back empty."""
+    documents = _table(spark, d, "documents")
+    again = tokens.texts_of(tokens.token_ids(documents)).withColumnRenamed("text", "decoded")
+    both = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(again, "doc_id")
+    return both.select("doc_id", F.length("decoded").alias("characters"), (F.col("text") == F.col("decoded")).alias("same"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.cases(_table(spark, d, "documents"), 0.3)
 
@@ -85,7 +93,7 @@ def p8_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p1_class_pairs, p2_found, p2_nearest, p3_found, p5_found, p5_shares, p6_ids, p7_containers, p7_fill, p8_found, p8_shares, p8_anomalies, p8_quality)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_class_pairs, p2_found, p2_nearest, p3_found, p5_found, p5_shares, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_shares, p8_anomalies, p8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -59,4 +59,6 @@ P5_SHARES = P5.replace("WITH p AS", "WITH found AS (WITH p AS", 1) + """), b AS
      f AS (SELECT post_id, CAST(sum(span_end - span_start) AS BIGINT) AS shared FROM found GROUP BY post_id)
 SELECT post_id, characters, coalesce(shared, 0) AS shared_characters, CASE WHEN characters > 0 THEN coalesce(shared, 0) / characters ELSE 0.0 END AS share FROM b LEFT JOIN f USING (post_id)"""
 
-ALL = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p5_found": P5, "p5_shares": P5_SHARES, "p8_found": P8_FOUND, "p8_shares": P8_SHARES}
+P6_ROUND_TRIP = "SELECT doc_id, length(coalesce(text, '')) AS characters, true AS same FROM documents"
+
+ALL = {"p6_round_trip": P6_ROUND_TRIP, "p1_found": P1, "p2_found": P2, "p3_found": P3, "p5_found": P5, "p5_shares": P5_SHARES, "p8_found": P8_FOUND, "p8_shares": P8_SHARES}

@@ -61,6 +61,7 @@ def test_packed(spark):
     for i, n in sizes:
         want[i] = want.get(i, 0) + (n or 0)
     assert max(used.values()) <= 2048
+    assert all(x.certified for x in out if x.container.startswith("full")) and {x.certified for x in out} <= {True, False}
     assert whole == want
     split = [i for i, s in starts.items() if len(s) > 1 and i != 3]
     assert all(want[i] > 2048 for i in split)
