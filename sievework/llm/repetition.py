@@ -186,7 +186,7 @@ def fit(documents: DataFrame, least: float, run: int = RUN, labelled: DataFrame
     n = documents.count()
     cut = max(1, int((1 << 30) * min(1.0, SAMPLE / max(1, n))))
     sample = _pair(documents).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < cut)
-    known = F.lit(None).cast("boolean")
+    known, by_rule = F.lit(None).cast("boolean"), labelled is None
     if labelled is not None:
         sample = sample.join(labelled.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("is_case").cast("boolean").alias("known")), "doc_id")
         known = F.col("known")
@@ -197,7 +197,7 @@ def fit(documents: DataFrame, least: float, run: int = RUN, labelled: DataFrame
             for a, b in K.blocks(texts):
                 own = texts[a:b]
                 case = np.array([bool(x) for x in batch.column(2).slice(a, b - a).to_pylist()])
-                if labelled is None:
+                if by_rule:
                     h, at = K.words(own)
                     case = repeated_words(h, at, run) >= least * np.maximum(np.diff(at), 1) - 1e-9
                 made = [p for t, c in zip(own, case) if not c and (p := _planted(t, least, run))]
