@@ -143,8 +143,23 @@ def extract(posts: DataFrame) -> DataFrame:
     return scanned.unionByName(plain).select("post_id", "account", points.alias("contact_points"), "x.matches", "x.unread")
 
 
+def reach_counts(contacts: DataFrame) -> DataFrame:
+    """(kind, value, accounts, posts, spellings): how many published each contact point, and how it was written.
+
+    Only spellings are gathered; accounts and posts of a hot point are counted, never brought together.
+    """
+    each = contacts.select("post_id", "account", F.explode("matches").alias("m")).select("post_id", "account", "m.kind", "m.value", "m.found_as")
+    keys = ["kind", "value"]
+    count = lambda c, n: each.select(*keys, c).distinct().groupBy(*keys).agg(F.count(c).alias(n))
+    written = each.select(*keys, "found_as").distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("found_as")).alias("spellings"))
+    return count("account", "accounts").join(count("post_id", "posts"), keys).join(written, keys).select(*keys, "accounts", "posts", "spellings")
+
+
 def reach(contacts: DataFrame) -> DataFrame:
-    """(kind, value, accounts, posts, spellings, shared): who published each contact point; shared means two accounts or more."""
+    """(kind, value, accounts, posts, spellings, shared): who published each contact point; shared means two accounts or more.
+
+    The lists of a hot point are as long as its users are many; ``reach_counts`` doesn't gather them.
+    """
     each = contacts.select("post_id", "account", F.explode("matches").alias("m"))
     sets = each.groupBy(F.col("m.kind").alias("kind"), F.col("m.value").alias("value")).agg(
         *(F.array_sort(F.collect_set(c)).alias(n) for c, n in (("account", "accounts"), ("post_id", "posts"), ("m.found_as", "spellings")))

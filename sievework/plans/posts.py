@@ -155,8 +155,7 @@ def join04(spark: SparkSession, d: str) -> DataFrame:
 
 @query("agg02_contact_reach", f"WITH m AS ({MATCHES}) SELECT kind, value, count(DISTINCT account) AS accounts, count(DISTINCT post_id) AS posts, string_agg(DISTINCT found_as, ' | ' ORDER BY found_as) AS spellings FROM m GROUP BY kind, value")
 def agg02(spark: SparkSession, d: str) -> DataFrame:
-    r = contacts.reach(table(spark, d, "post_contacts"))
-    return r.select("kind", "value", F.size("accounts").cast("bigint").alias("accounts"), F.size("posts").cast("bigint").alias("posts"), F.array_join("spellings", " | ").alias("spellings"))
+    return contacts.reach_counts(table(spark, d, "post_contacts")).withColumn("spellings", F.array_join("spellings", " | "))
 
 
 @query("agg28_contact_facts", f"WITH m AS ({MATCHES}), v AS (SELECT kind, value, count(DISTINCT account) AS n FROM m GROUP BY kind, value), u AS (SELECT DISTINCT post_id, unread FROM post_contacts) SELECT (SELECT count(*) FROM v WHERE kind = 'email') AS addresses, (SELECT count(*) FROM v WHERE kind = 'telegram') AS handles, (SELECT count(*) FROM v WHERE kind = 'email' AND value LIKE '%.example') AS reserved, (SELECT count(*) FROM v WHERE starts_with(value, 'syn_')) AS marked, (SELECT count(*) FROM v WHERE n > 1) AS shared, (SELECT coalesce(sum(len(unread)), 0)::BIGINT FROM u) AS unread")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.functions import rules
+from sievework.functions import contacts, rules
 from sievework.operators import candidates, composition, evaluate, graph, records, score
 from sievework.sources import contracts
 from sievework.sources.suffixes import SMALL_RULES, classify_rules, digest, read_rules, rule_rows, survey
@@ -29,10 +29,10 @@ def world(spark):
 
 
 def test_whole_records(spark):
-    posts, links, contacts, hosts, vectors = world(spark)
+    posts, links, points, hosts, vectors = world(spark)
     placed = posts.select("post_id", F.when(F.col("post_id").isin("p1", "p2"), "Investment and Money Offers").otherwise("Other").alias("scam_category"))
     members = spark.createDataFrame([("g", "a"), ("g", "b"), ("g", "a"), ("h", "c"), ("h", "nobody"), ("none", "nobody"), ("i", "b"), ("i", "c")], "group string, account string")
-    got = {r.candidate_id: r for r in records.records(members, posts, links, contacts, hosts, placed, vectors).collect()}
+    got = {r.candidate_id: r for r in records.records(members, posts, links, points, hosts, placed, vectors).collect()}
     assert set(got) == {"g", "h", "i"}
     g = got["g"]
     assert (g.accounts, g.posts, g.first_seen) == (["a", "b"], ["p1", "p2", "p3"], "2026-01-01T00:00:00Z")
@@ -46,24 +46,24 @@ def test_whole_records(spark):
     assert [(t.name, t["count"]) for t in g.cohesion.category.tally] == [("Investment and Money Offers", 2), ("Other", 1)]
     h = got["h"]
     assert (h.shared_domains, h.corroboration, h.similarity, h.cohesion.retained) == ([], [], [], False)
-    assert {r.check: r.faults for r in contracts.candidate_checks(records.records(members.where("group = 'g'"), posts, links, contacts, hosts, placed, vectors)).collect() if r.faults} == {}
-    totals = {r.system: (r.candidates, r.accounts) for r in records.rollup(records.records(members, posts, links, contacts, hosts, placed, vectors)).collect()}
+    assert {r.check: r.faults for r in contracts.candidate_checks(records.records(members.where("group = 'g'"), posts, links, points, hosts, placed, vectors)).collect() if r.faults} == {}
+    totals = {r.system: (r.candidates, r.accounts) for r in records.rollup(records.records(members, posts, links, points, hosts, placed, vectors)).collect()}
     assert totals == {"baseline": (3, 3), "retained": (1, 2), "removed": (2, 2)}
 
 
 def test_records_too_large_to_nest_keep_their_counts(spark):
-    posts, links, contacts, hosts, vectors = world(spark)
+    posts, links, points, hosts, vectors = world(spark)
     placed = posts.select("post_id", F.lit("Other").alias("scam_category"))
     members = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "c")], "group string, account string")
-    got = {r.candidate_id: r for r in records.records(members, posts, links, contacts, hosts, placed, vectors, most=2).collect()}
+    got = {r.candidate_id: r for r in records.records(members, posts, links, points, hosts, placed, vectors, most=2).collect()}
     assert got["g"].accounts is None and got["g"].shared_domains is None and got["g"].timing.pieces == 2
     assert got["h"].accounts == ["c"]
-    assert records.evidence(members, links, contacts, hosts).count() == 4
-    assert records.records(members.limit(0), posts, links, contacts, hosts, placed, vectors).collect() == []
+    assert records.evidence(members, links, points, hosts).count() == 4
+    assert records.records(members.limit(0), posts, links, points, hosts, placed, vectors).collect() == []
 
 
 def test_evidence_and_score_records(spark):
-    posts, links, contacts, hosts, _ = world(spark)
+    posts, links, hosts = (world(spark)[i] for i in (0, 1, 3))
     found = {(r.post_id, r.signal): r for r in score.evidence(posts, links, hosts).collect()}
     assert set(found) == {("p1", "guaranteed_return"), ("p1", "domain_frequency"), ("p2", "domain_frequency"), ("p1", "domain_lookalike"), ("p2", "domain_lookalike"), ("p4", "domain_lookalike")}
     assert (found["p1", "domain_frequency"].posts, found["p1", "domain_frequency"].accounts) == (2, 2)
@@ -128,3 +128,10 @@ def test_pages_of_large_groups_count(spark, monkeypatch):
     edges = spark.createDataFrame([("wrote", "a", "p1", "big")], "relation string, source string, target string, group_account string")
     got = {r.group_account: r.html for r in graph.pages(nodes, edges).collect()}
     assert "<li>post: 5</li><li>wrote: 1</li>" in got["big"] and "<svg" in got["small"]
+
+
+def test_reach_counts_equal_the_lists(spark):
+    _, _, contacts_, _, _ = world(spark)
+    listed = {(r.kind, r.value): (len(r.accounts), len(r.posts), r.spellings) for r in contacts.reach(contacts_).collect()}
+    counted = {(r.kind, r.value): (r.accounts, r.posts, r.spellings) for r in contacts.reach_counts(contacts_).collect()}
+    assert listed == counted and len(counted) == 2
