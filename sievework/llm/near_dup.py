@@ -390,11 +390,35 @@ def _count_meetings(t: float):
     return run
 
 
-def _combine(batches):
-    """Drop copies of a text within a batch, before the shuffle."""
-    for batch in batches:
-        _, first = np.unique(batch["key"].to_numpy(), return_index=True)
-        yield batch.take(pa.array(np.sort(first)))
+_TEXTS = pa.schema([("key", pa.int64()), ("title", pa.string()), ("body", pa.string())])
+
+
+def _packed_texts(marks: list[int]):
+    """The distinct texts of a batch by group, compressed together: far smaller than what the shuffle's codec makes of single rows."""
+    parts = len(marks)
+
+    def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            key = batch["key"].to_numpy()
+            _, first = np.unique(key, return_index=True)
+            group = key[first] % parts
+            order = np.argsort(group, kind="stable")
+            first, group = first[order], group[order]
+            own, start = np.unique(group, return_index=True)
+            blobs = []
+            for i, j in zip(start, np.append(start[1:], len(group))):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, _TEXTS, options=options) as out:
+                    out.write_table(pa.Table.from_batches([batch.take(pa.array(first[i:j]))]).cast(_TEXTS))
+                blobs.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array([marks[g] for g in own], pa.int32()), pa.array(blobs, pa.binary())], ["group", "texts"])
+
+    return run
+
+
+def _unpacked(packed: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in packed["texts"].to_pylist()] or [_TEXTS.empty_table()])
 
 
 def _lists(column: pa.ChunkedArray) -> np.ndarray:
@@ -403,6 +427,9 @@ def _lists(column: pa.ChunkedArray) -> np.ndarray:
 
 def _wanted(texts: pa.Table, keys: np.ndarray) -> pa.Table:
     """The texts of one group that are wanted, each once, sorted by key."""
+    if not len(keys):
+        return _TEXTS.empty_table()
+    texts = _unpacked(texts)
     own, first = np.unique(texts["key"].to_numpy(), return_index=True)
     return texts.take(pa.array(first[np.isin(own, keys)]))
 
@@ -518,7 +545,7 @@ def class_pairs(corpus: DataFrame, threshold: float = 0.8, shingle: int = 5, lea
     group = label_of(F.pmod("key", F.lit(parts)), marks).alias("group")
     if repeated is not None:
         pairs = pairs.unionByName(repeated.select(group, F.array("key").alias("a"), F.array("key").alias("b")))
-    grouped = texts.mapInArrow(_combine, texts.schema).select(group, "key", "title", "body").repartition(parts, "group").groupBy("group")
+    grouped = texts.mapInArrow(_packed_texts(marks), "group int, texts binary").repartition(parts, "group").groupBy("group")
     attached = grouped.cogroup(pairs.repartition(parts, "group").groupBy("group")).applyInArrow(_attach(marks), "group int, a bigint, title string, body string, b array<bigint>")
     return grouped.cogroup(attached.repartition(parts, "group").groupBy("group")).applyInArrow(_verify(threshold, shingle, least_words), "a bigint, b bigint, similarity double")
 
