@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.functions.rules import OTHER
-from sievework.functions.vectors import cross_group_nearest
 from sievework.operators.classify import agreed
+from sievework.operators.closest import likeness
 from sievework.operators.components import named_groups
 from sievework.operators.ranges import numbered
 from sievework.operators.score import domain_links, withheld_domains
@@ -80,12 +80,11 @@ def candidates(posts: DataFrame, post_domains: DataFrame, contacts: DataFrame, h
     size = own.groupBy("group_account").agg(F.countDistinct("account").alias("accounts"), F.countDistinct("post_id").alias("posts"), F.min("created_at").alias("first_seen"))
     out = size.join(timed, "group_account", "left").join(votes, "group_account", "left")
     if vectors is not None:
-        near = cross_group_nearest(own.join(vectors, "post_id"), "group_account", "account")
-        like = near.groupBy("group_account").agg(F.count("*").alias("compared"), F.sum((F.col("distance") <= threshold).cast("bigint")).alias("near"), F.min("distance").alias("closest_distance"))
+        like = likeness(own.select("group_account", "account", "post_id").join(vectors, "post_id"), size.select("group_account", "posts"), "group_account", "account", threshold)
         out = out.join(like, "group_account", "left")
     else:
-        out = out.withColumns({"compared": F.lit(0), "near": F.lit(0), "closest_distance": F.lit(None).cast("double")})
-    timely, similar = F.coalesce(F.col("corroborated") > 0, F.lit(False)), F.coalesce((F.col("compared") > 0) & (F.col("near") == F.col("posts")), F.lit(False))
+        out = out.withColumns({"similar": F.lit(False), "closest_distance": F.lit(None).cast("double")})
+    timely, similar = F.coalesce(F.col("corroborated") > 0, F.lit(False)), F.coalesce("similar", F.lit(False))
     held = timely.cast("int") + similar.cast("int") + F.col("majority").isNotNull().cast("int") >= QUORUM
     keyed = out.withColumns({"timely": timely, "similar": similar, "held": held})
     order = [F.desc("timely"), F.desc("similar"), F.desc("accounts"), F.desc("posts"), F.asc("group_account")]
