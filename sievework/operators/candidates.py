@@ -86,7 +86,8 @@ def candidates(posts: DataFrame, post_domains: DataFrame, contacts: DataFrame, h
         out = out.withColumns({"similar": F.lit(False), "closest_distance": F.lit(None).cast("double")})
     timely, similar = F.coalesce(F.col("corroborated") > 0, F.lit(False)), F.coalesce("similar", F.lit(False))
     held = timely.cast("int") + similar.cast("int") + F.col("majority").isNotNull().cast("int") >= QUORUM
-    keyed = out.withColumns({"timely": timely, "similar": similar, "held": held})
+    # dealing to ranges reads its input twice
+    keyed = checkpointed(out.withColumns({"timely": timely, "similar": similar, "held": held}))
     order = [F.desc("timely"), F.desc("similar"), F.desc("accounts"), F.desc("posts"), F.asc("group_account")]
     named = numbered(keyed, order, "number").withColumn("candidate_id", F.format_string("cc-%02d", "number"))
     return named.select("candidate_id", "group_account", "first_seen", "accounts", "posts", F.coalesce("pieces", F.lit(0)).alias("pieces"), F.coalesce("corroborated", F.lit(0)).alias("corroborated"), "closest_seconds", "similar", "closest_distance", "majority", F.col("held").alias("retained"))
